@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprint, mixing, quality, warc
+from weftline.llm import fingerprint, mixing, packing, quality, rans, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return rows.withColumnRenamed("record_id", "page_id")
@@ -23,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,8 +40,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_rans_ids": op5_rans_ids,
     "op7_source_mix": op7_source_mix,
     "op8_fingerprints": op8_fingerprints,
 }
