@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprint, mixing, packing, quality, rans, substring, warc
+from weftline.llm import fingerprint, mixing, near, packing, quality, rans, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(_documents(spark, sf_dir))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -51,4 +55,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rans_ids": op5_rans_ids,
     "op7_source_mix": op7_source_mix,
     "op8_fingerprints": op8_fingerprints,
+    "op9_near_duplicates": op9_near_duplicates,
 }
