@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprint, mixing, near, packing, quality, rans, substring, warc
+from weftline.llm import fingerprint, licenses, mixing, near, packing, quality, rans, substring, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(_documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,13 +51,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scores(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_rans_ids": op5_rans_ids,
+    "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
     "op8_fingerprints": op8_fingerprints,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_toxicity": op10_toxicity,
 }

@@ -51,7 +51,7 @@ def _pow(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hashes of values[start:end], from one running sum, then mixed."""
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _pow(base, len(values)), out=total[1:])
@@ -79,7 +79,7 @@ def word_hashes(data: bytes, chunk: int = 1 << 20) -> np.ndarray:
         edge = np.diff(word)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(starts):
-            out.append(_ranges(_BYTE[buf], _R, starts, ends) + (ends - starts).astype(np.uint64))
+            out.append(ranges(_BYTE[buf], _R, starts, ends) + (ends - starts).astype(np.uint64))
         at = stop
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -87,7 +87,7 @@ def word_hashes(data: bytes, chunk: int = 1 << 20) -> np.ndarray:
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     starts = np.arange(n)
-    return _ranges(words, _C, starts, starts + size) if n else np.empty(0, np.uint64)
+    return ranges(words, _C, starts, starts + size) if n else np.empty(0, np.uint64)
 
 
 def sliding_min(a: np.ndarray, size: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def runs_of(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     least = sliding_min(edges, window - K + 1)
     first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     n = np.diff(np.concatenate((first, [len(least)])))
-    body = _ranges(words, _C, first, first + n + (window - 1))
+    body = ranges(words, _C, first, first + n + (window - 1))
     ranked = np.sort(edges)
     again = bool((ranked[1:] == ranked[:-1]).any())
     return least[first], body, first, n, np.full(len(first), 1 + again)
@@ -153,7 +153,7 @@ def windows_at(texts: DataFrame, window: int) -> DataFrame:
                 anchor, first, n, mult = (spans.field(k).to_numpy() for k in range(4))
                 order = np.repeat(np.arange(len(n)), n)
                 start = np.concatenate([np.arange(a, a + b) for a, b in zip(first, n)])
-                h = _ranges(words, _C, start, start + window).view(np.int64)
+                h = ranges(words, _C, start, start + window).view(np.int64)
                 m = len(start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[order]), pa.array(h), pa.array(start, pa.int32()), pa.array(mult[order]), pa.array(np.full(m, batch.column(0)[i].as_py()), pa.int64()), pa.array(np.full(m, batch.column(1)[i].as_py()), pa.int32())],
