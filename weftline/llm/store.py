@@ -27,10 +27,11 @@ def base(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path for ``name`` below the shared folder; nothing is created yet."""
+def folder(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path for ``name`` below the shared folder; nothing is created yet. ``clear`` spares lasting ones."""
     path = f"{base(spark)}/weftline/{uuid.uuid4().hex}-{name}"
-    _written.append(path)
+    if not lasting:
+        _written.append(path)
     return path
 
 
@@ -38,16 +39,31 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed exactly once, with its lineage cut."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``write_once`` that nothing reads any more, and has Spark delete the shuffle files of finished
+    jobs, which it otherwise keeps until the driver's JVM happens to collect its garbage."""
+    for df in tables:
+        _delete(df._written)
+        _written.remove(df._written)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def clear() -> None:
     """Deletes every table this process has written; only for callers that hold no DataFrame over one."""
     while _written:
-        where = _written.pop()
-        files, path = filesystem(where)
-        if files.get_file_info(path).type != pafs.FileType.NotFound:
-            files.delete_dir(path)
+        _delete(_written.pop())
+
+
+def _delete(where: str) -> None:
+    files, path = filesystem(where)
+    if files.get_file_info(path).type != pafs.FileType.NotFound:
+        files.delete_dir(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -6,9 +6,9 @@ within a few words of an N into i or h, reported speech turns what follows an R
 or H after a T of its clause into its directed form (J, K). What is scored is the matched clauses: counts of each
 final symbol, weighted by the lexical weight of the word, and of clauses with a match, go into a logistic score.
 
-Insults are learned: words, their beginnings, and four- and five-grams of letters, by the documents of each label that have them, counted over every
-labelled row that may be learned from (in 2^20 hash cells, so the tables are of fixed size). A gram joins the lexicon with its log odds if
-the two labels' counts differ beyond chance. The logistic weights are fitted on at most ``sample`` of those rows.
+Insults are learned: words, their beginnings, and four- and five-grams of letters, by the documents of each label that have them (in 2^20 hash cells, so the tables are of fixed size).
+A gram joins the lexicon with its log odds if the two labels' counts differ beyond chance. Lexicon and logistic weights are
+fitted on at most ``sample`` of the labelled rows; every row is scored.
 
 Only the text is an input. A row may be learned from if crc32 of its id as text is not divisible by five.
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import store
 from weftline.llm.substring import ranges
 
 CELLS, GRAMS, HEADS, BASE = 1 << 20, (4, 5), (4, 6), 0xC2B2AE3D27D4EB4F
@@ -229,22 +230,25 @@ def score(x: list[float], w: np.ndarray) -> float:
     return 1 / (1 + np.exp(-min(max(z, -30), 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(lexicon, logistic weights) from the rows that may be learned from. ``sample``: rows the logistic fit sees at most."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
+    """(lexicon, logistic weights) fitted on the rows that may be learned from, or on ``sample`` of them, chosen by a hash
+    of their ids, where there are more. So the label table that is broadcast has a bound, and no text of another row moves."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), (F.col("toxic") != 0).cast("int").alias("toxic"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = lexicon(texts.join(marks, "doc_id").select("toxic", "text"))
+    seen = store.write_once(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").repartition(16), "toxicity-sample")
+    table = lexicon(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py(), table) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)  # at most ``sample`` rows, hence broadcast
-    seen = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, x array<double>").toPandas()
-    if seen.toxic.nunique() < 2:
+    rows = seen.mapInArrow(run, "toxic int, x array<double>").toPandas()
+    store.drop(seen)
+    if rows.toxic.nunique() < 2:
         return table, np.zeros(len(FINAL) + 3)
-    return table, fit(np.array(seen.x.tolist()), seen.toxic.to_numpy(float))
+    return table, fit(np.array(rows.x.tolist()), rows.toxic.to_numpy(float))
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
