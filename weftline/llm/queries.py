@@ -69,3 +69,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
+
+_W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""with d as (select row_number() over () as r, doc_id, {_W} as w from documents),
+s as (select r, unnest(range(1, greatest(1, len(w) - 33))) as i, w from d),
+g as (select r, i, array_to_string(list_slice(w, i, i + 34), ' ') as g from s),
+twice as (select r, i from (select r, i, count(*) over (partition by g) as n from g) where n > 1),
+gone as (select distinct r, i + k as p from twice, (select unnest(range(35)) as k)),
+lists as (select r, list(p) as ps, count(*) as n from gone group by r),
+kept as (select p.r, string_agg(p.x, ' ' order by p.p) as kept from (select r, unnest(w) as x, generate_subscripts(w, 1) as p from d) p anti join gone on gone.r = p.r and gone.p = p.p group by p.r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join lists using (r) left join kept using (r)""",
+    "op3_warc": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as b, sha1(coalesce(html, '')) as s from pages),
+k as (select *, max(page_id) over (partition by s) as top from p)
+select page_id, b as payload_bytes, s as payload_digest, case when b >= 1000 and top <> page_id then 'revisit' else 'response' end as record_type, case when b >= 1000 and top <> page_id then top end as refers_to from k""",
+    "op7_source_mix": f"""with d as (select doc_id, source, len({_W})::bigint as size, md5('mix:' || coalesce(doc_id::varchar, 'null')) as at_hash from documents),
+a as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rank from d group by source),
+w as (select *, [5, 2, 1][(rank - 1) % 3 + 1]::double as weight, (3 * source_size)::double as cap from a),
+l as (select *, ((sum(source_size) over ()) - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0)) / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0)) as level from w),
+t as (select *, least(cap, coalesce(max(case when level <= cap / weight then level end) over (), 0) * weight) as target from l),
+b as (select sum(source_size)::bigint as total, greatest(16, least(2048, sum(source_size)::bigint // 131072)) as block from a),
+h as (select *, least(2147483648, round(sum(target) over (order by rank) / greatest(sum(target) over (), 1) * 2147483648))::bigint as high from t),
+i as (select *, coalesce(lag(high) over (order by rank), 0) as low from h),
+slots as (select x * 1327217885 % 2147483648 as point from (select unnest(range((total + block - 1) // block)) as x from b)),
+n as (select i.rank, count(*) as slots from slots join i on point >= low and point < high group by 1),
+q as (select i.source, source_size, target, least(coalesce(slots, 0) * (select block from b), 3 * source_size) as stream from i left join n using (rank)),
+o as (select d.*, coalesce(sum(size) over (partition by source order by at_hash, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as pos from d)
+select doc_id, size, source_size, target, (case when source_size > 0 then stream // source_size * size + greatest(0, least(size, stream % source_size - pos)) else 0 end)::bigint as taken from o join q on o.source is not distinct from q.source""",
+}
