@@ -23,16 +23,20 @@ id are documents of their own; equal rows remove each other's words; an empty ta
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import store
 
 K, WINDOW = 8, 35
+SPACE = " \t\n\x0b\x0c\r"
+WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 RUNS = "anchor long, body long, t long, s int, first int, n int, w int"
 _R, _C, _MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, np.uint64(0xBF58476D1CE4E5B9)
 _BLANK = np.zeros(256, bool)
@@ -142,42 +146,67 @@ def runs(keyed: DataFrame, window: int) -> DataFrame:
     return keyed.select("t", "s", F.col("text").cast("binary")).mapInArrow(run, RUNS)
 
 
+def packed(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with its texts compressed, for the shuffles that bring a text to what is known of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = pa.array((pack(x.as_buffer()) for x in batch.column(3)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["doc_id", "t", "s", "z"])
+
+    return keyed.select("doc_id", "t", "s", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, t long, s int, z binary")
+
+
 def windows_at(texts: DataFrame, window: int) -> DataFrame:
-    """(anchor, h, first, start, mult, t, s): the windows of the stretches listed with each text."""
+    """(anchor, h, start, mult, t, s): the windows of the stretches listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        names = ["anchor", "h", "start", "mult", "t", "s"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                words = word_hashes(batch.column(2)[i].as_buffer().to_pybytes())
+                words = word_hashes(unpack(batch.column(2)[i].as_buffer()))
                 spans = batch.column(3)[i].values
                 anchor, first, n, mult = (spans.field(k).to_numpy() for k in range(4))
                 order = np.repeat(np.arange(len(n)), n)
-                start = np.concatenate([np.arange(a, a + b) for a, b in zip(first, n)])
+                start = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) + first[order]
                 h = ranges(words, _C, start, start + window).view(np.int64)
                 m = len(start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[order]), pa.array(h), pa.array(start, pa.int32()), pa.array(mult[order]), pa.array(np.full(m, batch.column(0)[i].as_py()), pa.int64()), pa.array(np.full(m, batch.column(1)[i].as_py()), pa.int32())],
-                    names=["anchor", "h", "start", "mult", "t", "s"],
-                )
+                held.append((anchor[order], h, start, mult[order], np.full(m, batch.column(0)[i].as_py()), np.full(m, batch.column(1)[i].as_py())))
+                size += m
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*held), kinds)], names=names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*held), kinds)], names=names)
 
-    return texts.select("t", "s", F.col("text").cast("binary"), "spans").mapInArrow(run, "anchor long, h long, start int, mult long, t long, s int")
+    return texts.select("t", "s", "z", "spans").mapInArrow(run, "anchor long, h long, start int, mult long, t long, s int")
 
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(t, s, spans): for each text key, the starts of repeated windows as (first, n) stretches."""
+    """(t, s, spans): for each text key, the starts of repeated windows as (first, n) stretches. A written table."""
     table = store.write_once(runs(keyed, window), "runs")
     again = table.groupBy("anchor").agg(F.sum("w").alias("total")).where("total > 1").select("anchor")
     found = store.write_once(table.join(again, "anchor", "left_semi").select("anchor", "body", "t", "s", "first", "n"), "repeated-runs")
+    store.drop(table)
     classes = found.groupBy("anchor", "n", "body").agg(F.count("*").alias("mult"), F.min(F.struct("t", "s", "first")).alias("at"))
     classes = store.write_once(classes, "run-classes")
-    whole = found.join(classes.where("mult > 1").select("anchor", "n", "body"), ["anchor", "n", "body"], "left_semi").select("t", "s", "first", "n")
+    whole = store.write_once(found.join(classes.where("mult > 1").select("anchor", "n", "body"), ["anchor", "n", "body"], "left_semi").select("t", "s", "first", "n"), "repeated-paths")
+    store.drop(found)
     branching = classes.groupBy("anchor").agg(F.min("mult").alias("least")).where("least = 1").select("anchor")
     asked = classes.join(branching, "anchor", "left_semi").select("at.t", "at.s", F.struct("anchor", "at.first", "n", "mult").alias("span"))
-    asked = asked.groupBy("t", "s").agg(F.collect_list("span").alias("spans"))
-    each = store.write_once(windows_at(keyed.join(asked, ["t", "s"]), window), "branch-windows")
+    asked = asked.groupBy("t", "s").agg(F.collect_list("span").alias("spans"))  # at most a text's runs
+    each = store.write_once(windows_at(packed(keyed).join(asked, ["t", "s"]), window), "branch-windows")
+    store.drop(classes)
     twice = each.groupBy("anchor", "h").agg(F.sum("mult").alias("total")).where("total > 1").select("anchor", "h")
     partly = each.where("mult = 1").join(twice, ["anchor", "h"], "left_semi").select("t", "s", F.col("start").alias("first"), F.lit(1).alias("n"))
-    return whole.unionByName(partly).groupBy("t", "s").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    spans = store.write_once(whole.unionByName(partly).groupBy("t", "s").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "repeated-spans")
+    store.drop(whole, each)
+    return spans
 
 
 def keyed_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,10 +227,11 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for d, text, spans in zip(batch.column(0), batch.column(1), batch.column(2)):
-                words = text.as_buffer().to_pybytes().split()
+            for d, z, spans in zip(batch.column(0), batch.column(1), batch.column(2)):
+                words = unpack(z.as_buffer()).split()
                 kept, n = words, len(words)
                 if spans.is_valid:
                     gone = _covered(n, spans.values, window)
@@ -211,5 +241,43 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     keyed = keyed_texts(docs)
-    joined = keyed.join(repeated_spans(keyed, window), ["t", "s"], "left")
-    return joined.select("doc_id", F.col("text").cast("binary"), "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = packed(keyed).join(repeated_spans(keyed, window), ["t", "s"], "left")
+    return joined.select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def keep(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the words that repeated windows cover, and without documents whose words are all covered.
+
+    A kept word keeps the white space before it. ``n_chars``, where there is one, is counted anew; other columns, of
+    any names, pass through.
+    """
+    prefix = "_weft"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    t, s, found = (f"{prefix}_{x}" for x in ("t", "s", "spans"))
+    plain = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    keyed = docs.select(*[docs[c] for c in docs.columns], F.xxhash64(plain).alias(t), F.hash(plain).alias(s))
+    spans = repeated_spans(keyed_texts(docs), window).select(F.col("t").alias(t), F.col("s").alias(s), F.col("spans").alias(found))
+    at, width = docs.columns.index("text"), len(docs.columns)
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, names = list(batch.columns[:width]), batch.schema.names[:width]
+            texts, stay = [], []
+            for text, spans in zip(columns[at], batch.column(width)):
+                left = text.as_py()
+                if spans.is_valid:
+                    parts = WORD.findall(left)
+                    gone = _covered(len(parts), spans.values, window).tolist()
+                    left = "".join(p for p, g in zip(parts, gone) if not g)
+                    left = left.lstrip(SPACE) if gone[0] else left
+                texts.append(left)
+                stay.append(not spans.is_valid or bool(left))
+            columns[at] = pa.array(texts, columns[at].type)
+            if chars is not None:
+                columns[chars] = pa.array([None if x is None else len(x) for x in texts]).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+
+    joined = keyed.join(spans, [t, s], "left").select(*[keyed[c] for c in docs.columns], found)
+    return joined.mapInArrow(run, docs.schema)
