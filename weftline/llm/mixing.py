@@ -140,8 +140,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeat_cap: int =
     plan = plan.where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "taken")
     plan = plan.withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast((taken + size - 1) div size as int)), i -> least(size, taken - (i - 1) * size))")))
     joined = rows.join(plan, "_row")
-    short = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), F.least(F.col("_cut") - 1, F.lit(2_000_000_000)).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+"))
-    body = F.when(F.col("_cut") < F.col("size"), F.regexp_extract(F.col(f"{name}.text"), short, 0)).otherwise(F.col(f"{name}.text"))
+    each = F.regexp_extract_all(F.col(f"{name}.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    body = F.when(F.col("_cut") < F.col("size"), F.array_join(F.slice(each, F.lit(1), F.col("_cut").cast("int")), "")).otherwise(F.col(f"{name}.text"))
     kinds = {f.name: f.dataType for f in docs.schema}
     out = {c: F.col(f"{name}.`{c}`") for c in columns} | {"text": body}
     if "n_chars" in kinds:

@@ -49,7 +49,16 @@ def pieces(docs: DataFrame, limit: int, tokenizer: str, end_id: int = 0, doc: st
 
 
 def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """Recipes, (lengths, times), that use every piece of ``counts`` once and have sums of at most ``limit``."""
+    """Recipes, (lengths, times), that use every piece of ``counts`` once and have sums of at most ``limit``.
+
+    Exact fills of up to three pieces are best where short pieces abound, but may use up short pieces that long ones
+    need; so plans with sums of fewer pieces are made too, down to best-fit alone, and the shortest is taken.
+    """
+    return min((_plan(counts, limit, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], limit: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """``most``: pieces that an exact fill of a gap may have."""
     left = np.zeros(limit + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -68,11 +77,11 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]
         return times
 
     use((limit,))
-    for longest in range(limit - 1, 0, -1):
+    for longest in range(limit - 1, 0, -1) if most else ():
         gap = limit - longest
         if left[longest] and gap >= 1:
             use((longest, gap))
-        if not left[longest]:
+        if not left[longest] or most < 2:
             continue
         a = np.arange(1, gap // 2 + 1)
         pairs = a[(left[a] > 0) & (left[gap - a] > 0)]
@@ -80,7 +89,7 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]
             if not left[longest]:
                 break
             use((longest, int(gap - x), int(x)))
-        if not left[longest] or gap < 3:
+        if not left[longest] or gap < 3 or most < 3:
             continue
         for x in range(gap - 2, 0, -1):
             if not left[longest]:

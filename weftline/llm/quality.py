@@ -124,3 +124,26 @@ def line_first(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, min_k
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:]))], names=names)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, ", ".join(fields))
+
+
+def keep(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, min_kept: float = 0.5) -> DataFrame:
+    """``docs`` without the rejected ones and, of the others, without the failing lines; same columns.
+
+    ``text`` is replaced, and ``n_chars`` where there is one; all other columns pass through as they are.
+    """
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                rows = [judge(x.as_py(), min_words, max_repeat, min_kept) for x in part.column(at)]
+                columns = list(part.columns)
+                texts = [r[-1] for r in rows]
+                columns[at] = pa.array(texts, part.schema.field(at).type)
+                if chars is not None:
+                    columns[chars] = pa.array([len(x) for x in texts]).cast(part.schema.field(chars).type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array([r[6] for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
