@@ -81,31 +81,32 @@ def schedule(goal: DataFrame, total: int, block: int) -> DataFrame:
     return slots.join(cells, "cell").where("point >= low and point < high").select("slot", "key")
 
 
-def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeat_cap: int = 3, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, key, source_size, target, taken, pos): a row for each row of ``docs``.
+def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeat_cap: int = 3, doc: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """(doc_id, size, key, source_size, target, taken, pos): a row for each row of ``docs``; with ``row``, if named.
 
     ``pos`` is the document's first word in its source's shuffled stream. Positions are running sums within
     4,096 hash buckets of each source, plus those of the buckets before, so no task orders a whole source.
     """
-    sizes = store.write_once(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "mix-sizes")
+    carried = [row] if row else []
+    sizes = store.write_once(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), *carried), "mix-sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     block = block_words(total)
     goal = targets(sizes, weights, repeat_cap)
     counts = schedule(goal, total, block).groupBy("key").agg(F.count("*").alias("slots"))
     goal = goal.join(counts, "key", "left").select("key", "source_size", "target", F.least(F.coalesce("slots", F.lit(0)) * block, F.col("source_size") * repeat_cap).alias("stream"))
 
-    rows = sizes.select("doc_id", "size", key(F.col("source")).alias("key"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("at"))
+    rows = sizes.select("doc_id", "size", key(F.col("source")).alias("key"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("at"), *carried)
     rows = rows.withColumn("bucket", F.substring("at", 1, BUCKET_HEX))
     parts = rows.groupBy("key", "bucket").agg(F.sum("size").alias("part"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("key", "bucket", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("key", "bucket").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "bucket").orderBy("at", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(parts, ["key", "bucket"]).join(goal, "key").withColumn("pos", F.col("base") + F.col("ahead"))
     full = F.when(F.col("source_size") > 0, F.expr("stream div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.col("stream") % F.col("source_size")).otherwise(F.lit(0))
     partly = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("pos")))
-    return rows.select("doc_id", "size", "key", "source_size", "target", (full * F.col("size") + partly).alias("taken"), "pos")
+    return rows.select("doc_id", "size", "key", "source_size", "target", (full * F.col("size") + partly).alias("taken"), "pos", *carried)
 
 
 def blocks(taken: DataFrame, slots: DataFrame, block: int) -> DataFrame:
@@ -136,8 +137,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeat_cap: int =
         name += "_"
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias(name))
     rows = store.write_once(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = takes(rows.select(F.col("_row").alias("doc_id"), F.col(f"{name}.text").alias("text"), F.col(f"{name}.source").alias("source")), weights, repeat_cap)
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "taken")
+    plan = takes(rows.select(F.col(f"{name}.doc_id").alias("doc_id"), F.col(f"{name}.text").alias("text"), F.col(f"{name}.source").alias("source"), "_row"), weights, repeat_cap, row="_row")
+    plan = plan.where("taken > 0").select("_row", "size", "taken")
     plan = plan.withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast((taken + size - 1) div size as int)), i -> least(size, taken - (i - 1) * size))")))
     joined = rows.join(plan, "_row")
     each = F.regexp_extract_all(F.col(f"{name}.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
