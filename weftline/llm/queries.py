@@ -84,6 +84,25 @@ select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, s
     "op3_warc": """with p as (select page_id, octet_length(encode(coalesce(html, ''))) as b, sha1(coalesce(html, '')) as s from pages),
 k as (select *, max(page_id) over (partition by s) as top from p)
 select page_id, b as payload_bytes, s as payload_digest, case when b >= 1000 and top <> page_id then 'revisit' else 'response' end as record_type, case when b >= 1000 and top <> page_id then top end as refers_to from k""",
+    "op4_quality_rules": rf"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+g as (select r, i, array_to_string(list_slice(w, i, i + 7), ' ') as g from (select r, unnest(range(1, greatest(1, len(w) - 6))) as i, w from w)),
+again as (select r, count(distinct i + k) as n_repeat from (select r, i, count(*) over (partition by r, g) as n from g), (select unnest(range(8)) as k) where n > 1 group by r),
+l as (select r, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d),
+x as (select r, i, line, lower(line) as low, regexp_extract_all(line, '\S+') as v, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as chars, row_number() over (partition by r, line order by i) > 1 as seen,
+length(line) - length(regexp_replace(line, '[|»›]', '', 'g')) as bars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) as symbols from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+m as (select r, i, max(c) as top from (select r, i, u, count(*) as c from (select r, i, unnest(v) as u from x) group by all) group by all),
+f as (select r, chars, seen, seen or {" or ".join(f"contains(low, '{n}')" for n in quality.NOTICES)}
+or bars >= 2 and 5 * bars >= len(v) or len(v) <= 12 and 3 * len(regexp_extract_all(low, '{quality.NAVIGATION.pattern}')) >= len(v)
+or 10 * symbols > len(v) and symbols >= 3
+or len(v) >= 4 and length(line) > 12 and 10 * len(list_filter(v, lambda u: upper(u) = u and lower(u) <> u)) > 7 * len(v)
+or len(v) >= 8 and (3 * coalesce(top, 0) > len(v) or 5 * len(list_filter(range(1, len(v)), lambda k: v[k] = v[k + 1])) > 2 * len(v))
+or not regexp_matches(line, '[.!?:;…"''”’»)\]。！？][\x20\x09-\x0D]*$') and not regexp_matches(line, '[.!?。]') and len(v) < 5 as fault from x left join m using (r, i)),
+k as (select r, sum(case when seen then 1 else 0 end) as dups, sum(case when fault then 0 else chars end) as kept_chars from f group by r),
+b as (select doc_id, r, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+coalesce(dups, 0)::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, coalesce(kept_chars, 0) as kept_chars from w left join k using (r) left join again using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and kept_chars >= 0.5 * word_chars as kept from b""",
     "op7_source_mix": f"""with d as (select doc_id, source, len({_W})::bigint as size, md5('mix:' || coalesce(doc_id::varchar, 'null')) as at_hash from documents),
 a as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rank from d group by source),
 w as (select *, [5, 2, 1][(rank - 1) % 3 + 1]::double as weight, (3 * source_size)::double as cap from a),
