@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
 
-RETRY_CODES = (500, 502, 503, 504, 522, 524, 408, 429)
+RETRY_CODES = (408, 429, 500, 502, 503, 504, 522, 524)
 
 
 def status_ok(status: Column, meta_all: Column, meta_list: Column, allow_all: bool = False, spider_list: list[int] | None = None, allowed: list[int] | None = None) -> Column:

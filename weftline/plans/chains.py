@@ -52,10 +52,10 @@ def callback_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""select page_id, case when page_id % 3 = 0 then 5.0::double end as delay, case when page_id % 3 = 0 then '/next' end as target, case when page_id % 2 = 0 then regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/b/' else url end as base from pages""")
+@query("""select page_id, case when page_id % 3 = 0 then 7.0::double end as delay, case when page_id % 3 = 0 then '/go' end as target, case when page_id % 2 = 0 then regexp_extract(url, '^[a-z]+://[^/]*', 0) || '/b/' else url end as base from pages""")
 def page_directives(spark: SparkSession, sf: str) -> DataFrame:
     """Refresh and base links, planted into the pages' heads."""
-    refresh = F.when(F.col("page_id") % 3 == 0, F.lit('<meta http-equiv="refresh" content="5; url=/next">')).otherwise(F.lit("<script>x='<meta http-equiv=\"refresh\" content=\"9\">'</script>"))
+    refresh = F.when(F.col("page_id") % 3 == 0, F.lit('<meta http-equiv="refresh" content="7; url=/go">')).otherwise(F.lit("<script>x='<meta http-equiv=\"refresh\" content=\"9\">'</script>"))
     base = F.when(F.col("page_id") % 2 == 0, F.lit('<base href="/b/">')).otherwise(F.lit(""))
     p = S.table(spark, sf, "pages").select("page_id", "url", F.concat(refresh, base, F.col("html")).alias("html"))
     delay, target = X.meta_refresh(F.col("html"))

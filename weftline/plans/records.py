@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +189,7 @@ def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
     out = T.rates(stream, width="1 hour", by="kind")
     name = f"rates_{abs(hash(sf)) % 10**8}"
-    return T.collect(out, name, tempfile.mkdtemp(prefix="weftline-stream-"), "complete").select(F.unix_micros("start").alias("start"), "kind", "n")
+    return T.collect(out, name, T.scratch(spark, "stream"), "complete").select(F.unix_micros("start").alias("start"), "kind", "n")
 
 
 @query("select event_type as fp from events group by 1")
@@ -199,4 +197,4 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of a stream over the stored events, each once."""
     events = S.table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("fp"))
-    return T.collect(T.dedup(stream, keep="60 days"), f"dedup_{abs(hash(sf)) % 10**8}", tempfile.mkdtemp(prefix="weftline-stream-")).select("fp")
+    return T.collect(T.dedup(stream, keep="60 days"), f"dedup_{abs(hash(sf)) % 10**8}", T.scratch(spark, "stream")).select("fp")

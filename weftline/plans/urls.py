@@ -107,14 +107,14 @@ def http_status_filter(spark: SparkSession, sf: str) -> DataFrame:
     return r.where(R.status_ok(F.col("status"), F.col("all"), F.col("list"), allowed=[404])).select("page_id", "status")
 
 
-@query(f"with {RESPONSES} select page_id, status, page_id % 3 + 1 as retry_times, true as dont_filter, -1 as priority from responses where status in (500, 502, 503, 504, 522, 524, 408, 429) and page_id % 4 <> 0 and page_id % 3 + 1 <= 2")
+@query(f"with {RESPONSES} select page_id, status, page_id % 3 + 1 as retry_times, true as dont_filter, -1 as priority from responses where status in (408, 429, 500, 502, 503, 504, 522, 524) and page_id % 4 <> 0 and page_id % 3 + 1 <= 2")
 def retry_clone(spark: SparkSession, sf: str) -> DataFrame:
     r = S.responses(spark, sf).where(R.retryable(F.col("status"), F.col("page_id") % 4 == 0))
     r = r.select("page_id", "status", (F.col("page_id") % 3).alias("retry_times"), F.lit(0).alias("priority"), F.lit(None).cast("int").alias("priority_adjust"), F.lit(None).cast("int").alias("max_retry_times"))
     return R.retry(r).select("page_id", "status", "retry_times", "dont_filter", "priority")
 
 
-@query(f"with {RESPONSES} select page_id, status in (500, 502, 503, 504, 522, 524, 408, 429) as retryable, coalesce(not case when page_id % 5 = 0 then true when page_id % 5 = 1 then false end, true) as redirect from responses")
+@query(f"with {RESPONSES} select page_id, status in (408, 429, 500, 502, 503, 504, 522, 524) as retryable, coalesce(not case when page_id % 5 = 0 then true when page_id % 5 = 1 then false end, true) as redirect from responses")
 def retryable_responses(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("page_id") % 5 == 0, F.lit(True)).when(F.col("page_id") % 5 == 1, F.lit(False))
     return S.responses(spark, sf).select("page_id", R.retryable(F.col("status"), F.lit(None).cast("boolean")).alias("retryable"), R.follow_redirect(own, F.lit(True)).alias("redirect"))

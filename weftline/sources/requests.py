@@ -38,7 +38,7 @@ def with_defaults(headers: Column, defaults: Column) -> Column:
 
 
 def json_headers(headers: Column) -> Column:
-    return with_defaults(headers, F.create_map(F.lit("Content-Type"), F.lit("application/json"), F.lit("Accept"), F.lit("application/json, text/javascript, */*; q=0.01")))
+    return with_defaults(headers, F.create_map(F.lit("Content-Type"), F.lit("application/json"), F.lit("Accept"), F.lit(", ".join(("application/json", "text/javascript", "*/*; q=0.01")))))
 
 
 def merge_params(url: str, params: dict) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,6 +58,16 @@ def leases(events: DataFrame, visible_ms: int = 600_000) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(step, LEASE, "phase string, token string, deadline long, again boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's checkpoint: below ``spark.checkpoint.dir``; on a local master without it, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="weftline-stream-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def collect(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that is there now, run to its end into a table in memory: for tests and small results only."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
