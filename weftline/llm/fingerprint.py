@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     return sums(rows, ["doc_id", "r"], "t").select("doc_id", digest(F.col("exact"), F.col("near")).alias("fingerprint"), "exact", "near")
 
 
-def neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows_per_bucket: int = 3000) -> DataFrame:
+def neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows_per_bucket: int = 800) -> DataFrame:
     """(bucket, rn, doc_id, t, next): every text with that of the next document by ascending id, cyclically.
 
     The ids are cut into ranges at approximate quantiles; texts move once, to their range, where a window finds the
