@@ -158,7 +158,7 @@ class Reader:
         return decode_block(data, n, self.table, self.lookup, self.lanes)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc: str = "doc_id", text: str = "text", file_ids: int = 1 << 23, block_ids: int = 1 << 20, lanes: int = 1024) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc: str = "doc_id", text: str = "text", file_ids: int = 1 << 23, block_ids: int = 1 << 20, lanes: int = 4096) -> DataFrame:
     """Writes ``docs`` in ascending id order into files in ``folder``; returns the index of those that count.
 
     The texts are range-partitioned and sorted once. Every attempt of a task names its files anew.

@@ -26,7 +26,7 @@ def default_path() -> str:
 class Encoder:
     """``cache``: pieces held at most; a full cache is emptied, so memory stays bounded for any vocabulary."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,13 +49,15 @@ class Encoder:
             found = list(map(self.cache.get, rest))
             if None not in found:
                 return np.frombuffer(head + b"".join(found), self.kind)
-            new = {p for p, x in zip(rest, found) if x is None}
-            if all(map(_plain, new)):
+            gaps = [k for k, x in enumerate(found) if x is None]
+            new = {rest[k] for k in gaps}
+            if all(map(_plain, new - set(map(str.strip, new)))) and "" not in new:
                 if len(self.cache) + 2 * len(new) > self.limit:
                     self.cache.clear()
-                    new = set(rest)
                 self._add(new)
-                return np.frombuffer(head + b"".join(map(self.cache.__getitem__, rest)), self.kind)
+                for k in gaps:
+                    found[k] = self.cache[rest[k]]
+                return np.frombuffer(head + b"".join(found), self.kind)
         return self._general(first, rest)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
@@ -67,18 +69,17 @@ class Encoder:
         A mark after a letter or digit begins a part of its own, so a word and the marks at its end are encoded
         apart and words are looked up without them.
         """
-        cut = []
-        for p in new:
-            word = p.rstrip(MARKS)
-            cut.append((p, word, p[len(word) :]) if word and len(word) < len(p) and word[-1].isalpha() else (p, p, ""))
-        words = list({w for _, w, _ in cut if w not in self.cache})
+        cut = [(p, w) for p, w in zip(new, map(_unmarked, new)) if w != p and w and w[-1].isalpha()]
+        words = new.difference(p for p, _ in cut)
+        words.update(w for _, w in cut)
+        words = [w for w in words if w not in self.cache]
         self.cache |= zip(words, self._bytes([w if w[0] == "\n" else " " + w for w in words]))
-        for p, word, marks in cut:
-            if marks:
-                tail = self.starts.get(marks)
-                if tail is None:
-                    tail = self.starts[marks] = self._bytes([marks])[0]
-                self.cache[p] = self.cache[word] + tail
+        for p, word in cut:
+            marks = p[len(word) :]
+            tail = self.starts.get(marks)
+            if tail is None:
+                tail = self.starts[marks] = self._bytes([marks])[0]
+            self.cache[p] = self.cache[word] + tail
 
     def _general(self, first: str, rest: list[str]) -> np.ndarray:
         """Pieces with white space at their ends stay joined to their neighbours; nothing is cached."""
@@ -96,6 +97,10 @@ class Encoder:
         return np.frombuffer(b"".join(map(coded.__getitem__, chunks)), self.kind)
 
 
+def _unmarked(piece: str) -> str:
+    return piece.rstrip(MARKS)
+
+
 def _plain(piece: str) -> bool:
     """Whether the piece, after a space or the line feed it begins with, has other characters at both ends."""
     body = piece[1:] if piece[:1] == "\n" else piece
