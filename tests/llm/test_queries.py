@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,8 @@ def test_sql_agrees(spark, data, name):
         c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     got = entry.queries()[name](spark, data).toPandas()
     want = c.sql(queries.SQL[name]).df()[list(got.columns)]
-    plain = lambda df: sorted(tuple("" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) else str(x) for x in r) for r in df.astype(object).values.tolist())
+    text = lambda x: "" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, (int, float)) else str(x)
+    plain = lambda df: sorted(tuple(map(text, r)) for r in df.astype(object).values.tolist())
     assert plain(got) == plain(want)
 
 

@@ -52,9 +52,22 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]
     """Recipes, (lengths, times), that use every piece of ``counts`` once and have sums of at most ``limit``.
 
     Exact fills of up to three pieces are best where short pieces abound, but may use up short pieces that long ones
-    need; so plans with sums of fewer pieces are made too, down to best-fit alone, and the shortest is taken.
+    need; so plans with sums of fewer pieces are made too, down to best-fit alone, and the shortest is taken. One that
+    is as short as the sum of lengths allows ends the search.
     """
-    return min((_plan(counts, limit, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+    bound = -(-sum(length * n for length, n in counts.items()) // limit)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for most in (3, 2, 1, 0):
+        made = _plan(counts, limit, most)
+        if best is None or _sequences(made) < _sequences(best):
+            best = made
+        if _sequences(best) == bound:
+            break
+    return best or []
+
+
+def _sequences(recipes: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(n for _, n in recipes)
 
 
 def _plan(counts: dict[int, int], limit: int, most: int) -> list[tuple[tuple[int, ...], int]]:
