@@ -255,3 +255,40 @@ def test_idempotent_sink(spark, tmp_path):
     for _ in range(2):
         T.write_idempotent(batch, 0, str(tmp_path))
     assert spark.read.parquet(str(tmp_path)).count() == 5
+
+
+def test_settings(monkeypatch):
+    from weftline.config import Settings
+
+    monkeypatch.setenv("WEFTLINE_RETRY_TIMES", "7")
+    s = Settings({"DEPTH_LIMIT": "3", "LIST": "a,b", "MAP": '{"x": 1}', "ON": "True"})
+    s.set("DEPTH_LIMIT", 9, "spider")
+    s.set("DEPTH_LIMIT", 1, "project")
+    assert s.getint("DEPTH_LIMIT") == 9 and s.getint("RETRY_TIMES") == 7 and s.getlist("LIST") == ["a", "b"] and s.getdict("MAP") == {"x": 1} and s.getbool("ON")
+    assert s["missing"] is None and s.getfloat("missing", 1.5) == 1.5 and s.layer("DEPTH_LIMIT") == 30
+    with pytest.raises(TypeError):
+        s.freeze().set("x", 1)
+    with pytest.raises(ValueError):
+        Settings({"ON": "maybe"}).getbool("ON")
+
+
+def test_chain():
+    from weftline.operators import chain
+
+    assert chain.ordered({"os.path.join": 2, len: 1, max: 5}, {max: None, min: 0}) == [min, len, __import__("os").path.join]
+    assert chain.through(1, [lambda x: x + 1, lambda x: None, lambda x: x * 10]) == 20
+    assert chain.through(1, [lambda x: x + 1, lambda x: x * 10], backwards=True) == 11
+
+
+def test_signals():
+    from types import SimpleNamespace
+
+    from weftline.streaming.listener import Signals
+
+    got = []
+    s = Signals({"opened": [got.append], "idle": [lambda e: 1 / 0]})
+    s.onQueryStarted("e")
+    s.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=3)))
+    s.onQueryIdle("e")
+    s.onQueryTerminated(SimpleNamespace(exception=None))
+    assert got == ["e"] and s.stats["rows"] == 3 and s.stats["signal_errors/ZeroDivisionError"] == 1 and s.stats["finish_reason/finished"] == 1

@@ -11,7 +11,8 @@ from weftline.functions import text as X
 from weftline.functions import urls as U
 from weftline.operators import chain
 from weftline.operators import requests as R
-from weftline.plans.registry import HOST, LINKS, query
+from weftline.plans.registry import HOST, LINKS, RESPONSES, query
+from weftline.schemas import dumps, layered, loads, without_nulls
 from weftline.sources import tables as S
 
 
@@ -70,3 +71,29 @@ def header_values(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey", X.set_cookies(header)[0].alias("first_cookie"), F.size(X.set_cookies(header)).alias("n_set"), X.cookies(F.lit("a=1; b=7"))["b"].alias("b"), X.basic_auth(F.col("c_name"), F.lit("pw")).alias("auth"),
         X.camel_case(F.col("c_name")).alias("camel"), X.module_name(F.col("c_name")).alias("module"), X.last_match(F.concat(F.col("c_name"), F.lit("x9")), "[0-9]").alias("last_digit"), X.arguments(F.lit("k=x,l=y"))["k"].alias("arg"),
     )
+
+
+@query(f"with {LINKS} select page_id, pos, url, fp, page_id % 4 + 1 as depth, 'GET' as method from outlinks")
+def request_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests written as queue payloads and read again; an unknown key is dropped."""
+    r = S.outlinks(spark, sf).withColumn("depth", R.child_depth((F.col("page_id") % 4).cast("int")))
+    payload = dumps(F.struct("url", "fp", "depth", F.lit("GET").alias("method"), F.lit("x").alias("unknown")))
+    return r.select("page_id", F.col("pos").cast("long"), loads(payload).alias("q")).select("page_id", "pos", "q.url", "q.fp", "q.depth", "q.method")
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 's' when c_custkey % 2 = 0 then 'p' else 'd' end as value, case when c_custkey % 2 = 0 then 2 else 1 end as n from customer")
+def settings_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Default, project and spider settings, and a map without its nulls."""
+    empty = F.create_map().cast("map<string,string>")
+    own = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("k"), F.lit("s"))).otherwise(empty)
+    project = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("k"), F.lit("p"))).otherwise(empty)
+    merged = layered(F.create_map(F.lit("k"), F.lit("d")), project, own)
+    sparse = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.when(F.col("c_custkey") % 2 == 0, F.lit("2")))
+    return S.table(spark, sf, "customer").select("c_custkey", merged["k"].alias("value"), F.size(without_nulls(sparse)).alias("n"))
+
+
+@query(f"with {RESPONSES}, q as (select page_id, url, page_id % 4 as depth from pages) select r.page_id, r.status, q.depth + 1 as child_depth from responses r join q on r.url = q.url")
+def request_response_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses with what their requests carry."""
+    sent = S.table(spark, sf, "pages").select("url", (F.col("page_id") % 4).alias("depth"))
+    return S.responses(spark, sf).join(sent, "url").select("page_id", "status", R.child_depth(F.col("depth")).alias("child_depth"))
