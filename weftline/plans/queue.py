@@ -45,10 +45,10 @@ def dedup_ex_failures(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.after_failures(log.select("slot").distinct(), outcomes, key="slot")
 
 
-@query(f"with {LINKS}, s as (select fp from outlinks where page_id % 4 = 0), n as (select fp from outlinks where page_id % 5 = 0) select count(*) as marks from (select fp from s union select fp from n)")
+@query(f"with {LINKS}, s as (select fp from outlinks where page_id % 4 = 0), n as (select fp from outlinks where page_id % 4 <> 0) select count(*) as marks from (select fp from s union select fp from n)")
 def seen_union(spark: SparkSession, sf: str) -> DataFrame:
     r = _requests(spark, sf)
-    return dedup.extend(r.where("page_id % 4 = 0"), r.where("page_id % 5 = 0")).agg(F.count("*").alias("marks"))
+    return dedup.extend(r.where("page_id % 4 = 0"), r.where("page_id % 4 <> 0")).agg(F.count("*").alias("marks"))
 
 
 @query(f"with {LINKS}, p as (select page_id, sha1(url) as fp from pages), o as (select page_id, {OFFSETS.format((1 << 30) - 1)} as h from p) select page_id, unnest([0, 1, 2, 3, 4, 5])::int as k, unnest(h) as bit from o")

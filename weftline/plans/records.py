@@ -107,13 +107,14 @@ def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-ITEMS = "items as (select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipmode from (select *, l_returnflag as l_shipmode from lineitem)), base as (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_extendedprice) as l_extendedprice from lineitem where l_orderkey % 3 = 0 group by 1, 2), batch as (select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem where l_orderkey % 2 = 0)"
+ITEMS = "base as (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_extendedprice) as l_extendedprice from lineitem where l_linestatus = 'F' group by 1, 2), batch as (select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem where l_linestatus = 'O')"
 
 
 def _items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    base = rows.where("l_orderkey % 3 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_extendedprice").alias("l_extendedprice"))
-    return base, rows.where("l_orderkey % 2 = 0")
+    lines = S.table(spark, sf, "lineitem")
+    rows = lambda status: lines.where(F.col("l_linestatus") == status).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    base = rows("F").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_extendedprice").alias("l_extendedprice"))
+    return base, rows("O")
 
 
 KEYS, ORDER = ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_quantity"]

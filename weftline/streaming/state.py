@@ -62,7 +62,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's checkpoint: below ``spark.checkpoint.dir``; on a local master without it, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="weftline-stream-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
