@@ -333,6 +333,32 @@ def test_near_groups_and_chains(spark):
     assert kept.columns == frame(spark, rows).columns and sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 130)]
 
 
+def test_near_families_by_force(spark):
+    """Texts that share a long passage, so that buckets hold many classes: every link of two texts in one bucket counts."""
+    import random
+
+    rows, sets = [], []
+    for k in range(80):
+        own = [f"own{k}x{j}" for j in range(6)]
+        for copy in range(2):
+            r = random.Random(2 * k + copy)
+            words = prose(70, 160).split()
+            for j in range(2):
+                words[r.randrange(160)] = f"new{k}x{copy}x{j}"
+            rows.append((2 * k + copy, " ".join(words + own), "en", "a", 1))
+            sets.append(near.shingles(rows[-1][1].encode()))
+    keys = near.band_keys(near.signatures(sets, near.BANDS * near.ROWS), near.BANDS, near.ROWS)
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (keys[a] == keys[b]).any() and near.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert len(set(want)) > 20 and len(want) - len(set(want)) > 20
+    got = {r.doc_id: r.class_id for r in near.near_classes(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_signature_estimates():
     a, b = prose(1, 400).split(), prose(1, 400).split()
     for k in range(0, 400, 40):

@@ -7,8 +7,10 @@ a component with the probability Jaccard similarity of the weights.
 
 Bands of the signature put texts into buckets. A bucket's members are compared with its leader only, the member that
 shares most bucket places, which is where a group of copies has its centre; every compared pair is verified on whole
-texts: plain or probability Jaccard of at least ``similarity``. Members that are in another class than their leader's are
-then compared with the best of the rest and with the bucket's second centre, again and again until no pair is new. Classes are the connected components of verified links.
+texts: plain or probability Jaccard of at least ``similarity``. A leader has then been tried against all of its bucket and leaves
+it. Buckets whose remaining members are of several classes elect more leaders, from each class in turn, eight times as many in
+each round, which are compared with the members of other classes, until what is left of each bucket is of one class. So two texts that
+share a bucket are compared unless links join them already, and classes are the connected components of all links in the buckets.
 
 Equal texts are one node from the start, so a text that a third of all rows share costs one signature comparison. With 20 bands of 4, a
 pair at exactly 0.8 shares no bucket with probability 3e-5.
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm import store
 from weftline.llm.substring import window_hashes, word_hashes
@@ -178,28 +181,32 @@ def links(sketched: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     needed = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     needed = store.write_once(needed, "bucket-texts")
     rank = F.struct("degree", "node")
-    leaders = members.groupBy("key").agg(F.max(rank).alias("top"), F.min(rank).alias("bottom"))
+    leaders = members.groupBy("key").agg(F.max(rank).alias("top"))
     pairs = members.join(leaders, "key").select("node", F.col("top.node").alias("other")).where("node != other")
     tried = store.write_once(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "tried")
     found = store.write_once(verify(tried, needed, least), "found")
+    left = members.join(leaders.select("key", F.col("top.node").alias("node")), ["key", "node"], "left_anti")
+    heads = 4
+    roots = components(found)
     while True:
-        roots = components(found)
-        placed = members.join(roots, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("degree", "node", "root")).alias("top")).where("low != high")
-        rest = store.write_once(placed.join(mixed.select("key", "top"), "key"), "mixed-buckets")
-        others = rest.where(F.col("root") != F.col("top.root"))
-        best = others.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("best"))
-        centre = rest.where((F.col("root") == F.col("top.root")) & (F.col("node") != F.col("top.node"))).groupBy("key").agg(F.max(F.struct("degree", "node")).alias("second"))
-        aims = others.join(best, "key").join(centre, "key", "left")
-        aims = aims.select("node", F.explode(F.array("top.node", "best.node", "second.node")).alias("other")).where("other is not null and node != other")
+        placed = left.join(roots, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        rest = store.write_once(placed.join(mixed.select("key"), "key"), "mixed-buckets")
+        if rest.isEmpty():
+            return roots
+        falling = [F.desc("degree"), F.desc("node")]
+        elected = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key", "root").orderBy(*falling))).where(F.col("turn") <= heads)
+        elected = elected.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("turn", *falling))).where(F.col("place") <= heads)
+        elected = store.write_once(elected.select("key", F.col("node").alias("other"), F.col("root").alias("other_root")), "elected")
+        aims = rest.join(elected, "key").where("root != other_root")
         new = aims.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = store.write_once(new, "new-pairs")
-        if new.isEmpty():
-            return roots
         more = store.write_once(verify(new, needed, least), "found")
         tried, found = tried.unionByName(new), found.unionByName(more)
-        if more.isEmpty():
-            return roots
+        if not more.isEmpty():
+            roots = components(found)
+        left = rest.join(elected.select("key", F.col("other").alias("node")), ["key", "node"], "left_anti").select("key", "node", "degree")
+        heads *= 8
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
