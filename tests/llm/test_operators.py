@@ -333,6 +333,13 @@ def test_near_groups_and_chains(spark):
     assert kept.columns == frame(spark, rows).columns and sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 130)]
 
 
+def test_near_keeps_unlike_rows_of_equal_ids(spark):
+    rows = [*ROWS, *[(None, prose(200 + k, 40), "en", "a", 1) for k in range(3)], (None, prose(200, 40), "en", "a", 1)]
+    kept = [(r.doc_id, r.text or "") for r in near.one_of_each(frame(spark, rows)).collect()]
+    assert len(kept) == len(set(kept)) and {t for d, t in kept if d == 7} == {"one two", prose(3, 50)}
+    assert {t for d, t in kept if d is None} == {prose(4, 40), *(prose(200 + k, 40) for k in range(3))}
+
+
 def test_near_families_by_force(spark):
     """Texts that share a long passage, so that buckets hold many classes: every link of two texts in one bucket counts."""
     import random

@@ -210,25 +210,25 @@ def links(sketched: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, class_id, class_size), a row for each row of ``docs``."""
+    """(doc_id, node, root, class_id, class_size), a row for each row of ``docs``; ``root`` is the class's own, ``class_id`` may be that of several."""
     sketched = store.write_once(sketch(docs, doc, text, bands, rows), "sketches")
     roots = links(sketched, nodes(docs, doc, text).select("node", "t"), similarity)
     placed = store.write_once(sketched.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "placed")
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(classes, "root").select("doc_id", "node", "class_id", "class_size")
+    return placed.join(classes, "root").select("doc_id", "node", "root", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class: that of the class id, and of rows alike in id the least text."""
+    """``docs`` with one row of each class: that of the least id, nulls last, and of rows alike in id the least text."""
     columns = docs.columns
     classes = near_classes(docs, similarity)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_node"))
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
     row, n = "_row", "_n"
     while row in columns or n in columns:
         row, n = row + "_", n + "_"
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias(row), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))).alias("_node"), docs["doc_id"].alias("_id"))
     ids = keyed.withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
-    kept = kept.select("_node", F.coalesce(F.col("class_id").cast("string"), F.lit("null")).alias("_key"))
+    kept = kept.select(F.col("least.node").alias("_node"), F.coalesce(F.col("least.doc_id").cast("string"), F.lit("null")).alias("_key"))
     rows = ids.join(kept, ["_node", "_key"], "left_semi")
     rows = rows.dropDuplicates(["_node", "_key"])
     return rows.select(f"{row}.*")
