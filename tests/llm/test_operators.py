@@ -226,6 +226,17 @@ def test_patience():
     assert licenses.align("the cat the dog".split(), "the the dog".split())[-1] == (3, 2)
 
 
+def test_license_whole_grant(spark):
+    """The MIT grant is its whole text: a body without its first line is one, the first line alone or before another licence isn't."""
+    mit = licenses.TEMPLATES["mit-grant"]
+    body = mit.split("obtaining a copy ", 1)[1]
+    ofl = "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify, redistribute, and sell modified and unmodified copies of the Font Software"
+    rows = [(20, prose(5, 9) + " " + mit.replace("merge, ", "") + " " + prose(6, 40), "en", "a", 1), (21, prose(7, 9) + " " + body, "en", "a", 1), (22, prose(8, 30) + " " + ofl + " " + prose(9, 30), "en", "a", 1), (23, mit[:76], "en", "a", 1)]
+    got = {r.doc_id: r for r in licenses.licenses(frame(spark, rows)).collect()}
+    assert got[20].license == got[21].license == "mit-grant" and got[20].coverage > 0.95 and 0.8 <= got[21].coverage < 0.9
+    assert got[22].license is None and got[23].license is None
+
+
 # ---- 7: mixing ----
 def targets_by_force(sizes, cap=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
