@@ -377,6 +377,39 @@ def test_near_families_by_force(spark):
     assert got == dict(enumerate(want))
 
 
+def test_near_templates_by_force(spark):
+    """Pages of one template: those with the same two fields are links, all others lie just below."""
+    import random
+
+    base, rows, sets = [f"w{k}" for k in range(400)], [], []
+    for k in range(60):
+        w, r = list(base), random.Random(k)
+        for j in range(18):
+            w[40 + j], w[240 + j] = f"f{k // 2}x{j}", f"g{k // 2}x{j}"
+        for _ in range(4):
+            w[r.randrange(400)] = f"own{k}"
+        rows.append((k, " ".join(w), "en", "a", 1))
+        sets.append(near.shingles(rows[-1][1].encode()))
+    want = {(a, b) for a in range(60) for b in range(a) if near.similarity(sets[a], sets[b]) >= 0.8}
+    assert len(want) == 30 and all(a - b == 1 for a, b in want)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_classes(frame(spark, rows)).collect()}
+    assert got == {k: (k // 2 * 2, 1) for k in range(60)}
+
+
+def test_alike_in_blocks(spark):
+    """Blocks of any size give each pair of a bucket's members of different roots once, in the first band they share."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 62, (40, 3))
+    keys[:, 1] = 7
+    keys[5, 0] = keys[9, 0]
+    roots = [k // 4 for k in range(40)]
+    rows = [(1, 7, bytes([k]), keys[k].tolist(), bytes([roots[k]]), 40) for k in range(40)] + [(0, int(keys[5, 0]), bytes([k]), keys[k].tolist(), bytes([roots[k]]), 2) for k in (5, 9)]
+    members = spark.createDataFrame(rows, "band int, key long, node binary, keys array<long>, root binary, n long")
+    want = sorted((bytes([a]), bytes([b])) for a in range(40) for b in range(a) if roots[a] != roots[b])
+    for block in (3, 11, 512):
+        assert sorted((bytes(r.a), bytes(r.b)) for r in near.alike(members, 4, 0.1, block).collect()) == want
+
+
 def test_signature_estimates():
     a, b = prose(1, 400).split(), prose(1, 400).split()
     for k in range(0, 400, 40):

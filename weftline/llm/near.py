@@ -5,19 +5,22 @@ its weight; each arrival falls on one of ``m`` components, and a component's sig
 first. A shingle stops as soon as its next arrival is later than every component's first. Two signatures agree in
 a component with the probability Jaccard similarity of the weights.
 
-Bands of the signature put texts into buckets. A bucket's members are compared with its leader only, the member that
-shares most bucket places, which is where a group of copies has its centre; every compared pair is verified on whole
-texts: plain or probability Jaccard of at least ``similarity``. A leader has then been tried against all of its bucket and leaves
-it. Buckets whose remaining members are of several classes elect more leaders, from each class in turn, eight times as many in
-each round, which are compared with the members of other classes, until what is left of each bucket is of one class. So two texts that
-share a bucket are compared unless links join them already, and classes are the connected components of all links in the buckets.
+A signature keeps 16 bits of each of its 80 components, and a band is four of them side by side in one long, so the 20 bands are
+the signature. Texts that agree in a band share a bucket. A bucket's members are first compared with its leader, the member that shares
+most bucket places, which is where a group of copies has its centre. Links join texts to classes; buckets of more than one class are
+gone through again, every two members of different classes: their signatures are held against each other in blocks of members, and pairs that agree in
+less than ``similarity - slack`` of the components are let go (at the defaults a pair of 0.8 is with probability 4e-6). Every other
+pair is verified on whole texts: plain or probability Jaccard of at least ``similarity``. So of two texts that share a bucket, either links
+join them already, or they were compared; classes are the connected components of all links.
 
 Equal texts are one node from the start, so a text that a third of all rows share costs one signature comparison. With 20 bands of 4, a
-pair at exactly 0.8 shares no bucket with probability 3e-5.
+pair at exactly 0.8 shares no bucket with probability 3e-5. A bucket of n members that no link joins is cut into blocks of ``block``, and
+each two blocks are one group of bounded size, wherever it is worked on; the pairs that such a bucket gives are those that look alike.
 
 Edge cases: texts of fewer than five words have one shingle, all their words; a null text counts as empty, and all
 texts without words of equal content are one class; class ids are the least document id, nulls aside (null only if all are null); rows that
-repeat an id have classes of their own texts; an empty table gives no rows; other columns are ignored.
+repeat an id have classes of their own texts; a very long text is hashed in chunks and costs 16 bytes a word while it is read, and its
+pairs are verified on all of it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm import store
 from weftline.llm.substring import window_hashes, word_hashes
@@ -73,19 +75,33 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    out = np.zeros((len(sig), bands), np.uint64)
-    parts = sig.reshape(len(sig), bands, rows)
-    for r in range(rows):
-        out = _mix(out * _A + parts[:, :, r] + np.uint64(r + 1))
-    return _mix(out + np.arange(1, bands + 1, dtype=np.uint64) * _GOLD).view(np.int64)
+    """A long for each band, which holds ``64 // rows`` bits of each of its components side by side."""
+    bits = 64 // rows
+    parts = (_mix(sig) >> np.uint64(64 - bits)).astype(f"<u{bits // 8}")
+    return np.ascontiguousarray(parts).view("<i8").reshape(len(sig), bands)
+
+
+def agreement(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """The share of components in which each signature of ``a`` agrees with each of ``b``; both as ``band_keys`` gives them."""
+    kind = f"<u{8 // rows}"
+    x, y = a.view(kind), b.view(kind)
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 22) // max(1, y.size))
+    for k in range(0, len(x), step):
+        out[k : k + step] = (x[k : k + step, None] == y[None]).mean(2)
+    return out
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of plain and probability Jaccard."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(common):
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][at] == a[0])
+    if not len(i):
         return 0.0
-    plain = len(common) / (len(a[0]) + len(b[0]) - len(common))
+    j = at[i]
+    plain = len(i) / (len(a[0]) + len(b[0]) - len(i))
     x, y = a[1], b[1]
     if plain >= 0.95 or (x.max() == 1 and y.max() == 1):
         return plain
@@ -131,18 +147,28 @@ def nodes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.select("doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("node"), "t")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough."""
+def verify(pairs: DataFrame, texts: DataFrame, least: float, cached: int = 4_000_000) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough. ``cached``: shingles that a task holds of texts it may meet again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def of(node: bytes, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
+            found = held.get(node)
+            if found is None:
+                found = shingles(text.as_buffer().to_pybytes())
+                if size + len(found[0]) > cached:
+                    held.clear()
+                    size = 0
+                held[node] = found
+                size += len(found[0])
+            return found
+
         for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_buffer().to_pybytes()
-                if last[0] != a:
-                    last = (a, shingles(batch.column(2)[i].as_buffer().to_pybytes()))
-                good.append(similarity(last[1], shingles(batch.column(3)[i].as_buffer().to_pybytes())) >= least)
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = [similarity(of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])) >= least for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("t").cast("binary").alias("ta"))
@@ -156,7 +182,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     Large-star and small-star rounds, each written once; the number of rounds grows as the logarithm of the longest chain.
     """
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = store.write_once(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -165,57 +196,120 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u != v").distinct()
         small = store.write_once(small, name)
-        left, right = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small
-        if tuple(left) == tuple(right):
+        store.drop(edges, large)
+        edges, after = small, state(small)
+        if before == after:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = after
+
 
+def alike(members: DataFrame, rows: int, least: float, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of members of one bucket but of different roots whose signatures agree in a share of ``least``.
 
-def links(sketched: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node, root) of every node that some verified link reaches."""
-    members = sketched.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = store.write_once(members.join(sizes, "key"), "bucket-members")
+    ``members``: (band, key, node, keys, root, n), n the size of the bucket. A member is hashed to one of about n / block blocks and sent to
+    each pair of blocks that has its own. A pair is given in the first band that it shares only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        made: list[np.ndarray] = []
+
+        def close() -> None:
+            table = pa.Table.from_batches(held)
+            node = np.array(table.column(5).to_pylist(), object)
+            root = np.unique(np.array(table.column(6).to_pylist(), object), return_inverse=True)[1]
+            sig = table.column(7).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            side = table.column(4).to_numpy()
+            left, right = (np.arange(len(node)),) * 2 if group[2] == group[3] else (np.flatnonzero(side == group[2]), np.flatnonzero(side == group[3]))
+            if not len(left) or not len(right):
+                return
+            i, j = np.nonzero(agreement(sig[left], sig[right], rows) >= least)
+            i, j = left[i], right[j]
+            fit = (root[i] != root[j]) & ((i < j) if group[2] == group[3] else True)
+            i, j = i[fit], j[fit]
+            fit = ~(sig[i, : group[0]] == sig[j, : group[0]]).any(1)
+            made.append(np.stack((node[i[fit]], node[j[fit]])))
+
+        def out() -> pa.RecordBatch:
+            a, b = np.concatenate(made, 1)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], names=["a", "b"])
+
+        for batch in batches:
+            marks = np.stack([batch.column(k).to_numpy() for k in range(4)])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                now = tuple(marks[:, x].tolist())
+                if held and now != group:
+                    close()
+                    held = []
+                group = now
+                held.append(batch.slice(x, y - x))
+            if sum(m.shape[1] for m in made) > 10_000:
+                yield out()
+        if held:
+            close()
+        if made:
+            yield out()
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rowed = members.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rowed = rowed.select("band", "key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "root", "keys")
+    by = ["band", "key", "low", "high"]
+    pairs = rowed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def links(sketched: DataFrame, texts: DataFrame, least: float, rows: int = ROWS, slack: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of every node that some verified link reaches, and the links (a, b)."""
+    flat = sketched.dropDuplicates(["node"]).select("node", "keys", F.posexplode("keys").alias("band", "key"))
+    sizes = flat.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = store.write_once(flat.select("node", "band", "key").join(sizes, ["band", "key"]), "bucket-members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = store.write_once(members.join(degree, "node").select("key", "node", "degree"), "bucket-degrees")
+    members = store.write_once(members.join(degree, "node"), "bucket-degrees")
     needed = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     needed = store.write_once(needed, "bucket-texts")
-    rank = F.struct("degree", "node")
-    leaders = members.groupBy("key").agg(F.max(rank).alias("top"))
-    pairs = members.join(leaders, "key").select("node", F.col("top.node").alias("other")).where("node != other")
+    leaders = members.groupBy("band", "key").agg(F.max(F.struct("degree", "node")).alias("top"))
+    pairs = members.join(leaders, ["band", "key"]).select("node", F.col("top.node").alias("other")).where("node != other")
     tried = store.write_once(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "tried")
-    found = store.write_once(verify(tried, needed, least), "found")
-    left = members.join(leaders.select("key", F.col("top.node").alias("node")), ["key", "node"], "left_anti")
-    heads = 4
+    found = store.write_once(verify(tried, needed, least), "found", spread=True)
     roots = components(found)
-    while True:
-        placed = left.join(roots, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        rest = store.write_once(placed.join(mixed.select("key"), "key"), "mixed-buckets")
-        if rest.isEmpty():
-            return roots
-        falling = [F.desc("degree"), F.desc("node")]
-        elected = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key", "root").orderBy(*falling))).where(F.col("turn") <= heads)
-        elected = elected.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("turn", *falling))).where(F.col("place") <= heads)
-        elected = store.write_once(elected.select("key", F.col("node").alias("other"), F.col("root").alias("other_root")), "elected")
-        aims = rest.join(elected, "key").where("root != other_root")
-        new = aims.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = store.write_once(new, "new-pairs")
-        more = store.write_once(verify(new, needed, least), "found")
-        tried, found = tried.unionByName(new), found.unionByName(more)
-        if not more.isEmpty():
-            roots = components(found)
-        left = rest.join(elected.select("key", F.col("other").alias("node")), ["key", "node"], "left_anti").select("key", "node", "degree")
-        heads *= 8
+    placed = members.join(roots, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
+    signed = sketched.dropDuplicates(["node"]).select("node", "keys")
+    rest = store.write_once(placed.join(mixed, ["band", "key"]).join(signed, "node"), "mixed-buckets")
+    store.drop(members)
+    new = store.write_once(alike(rest, rows, least - slack).join(tried, ["a", "b"], "left_anti"), "new-pairs", spread=True)
+    more = store.write_once(verify(new, needed, least), "found", spread=True)
+    store.drop(rest, new, tried, needed)
+    if more.isEmpty():
+        return roots, found
+    both = store.write_once(found.unionByName(more), "all-links")
+    known = roots.select(F.col("node").alias("x"), "root")
+    ends = more.join(known.withColumnsRenamed({"x": "a", "root": "ra"}), "a", "left").join(known.withColumnsRenamed({"x": "b", "root": "rb"}), "b", "left")
+    upper = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    store.drop(found, more)
+    lone = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    joined = roots.join(lone, "root", "full_outer").select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("root"))
+    return joined, both
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, root, class_id, class_size), a row for each row of ``docs``; ``root`` is the class's own, ``class_id`` may be that of several."""
+    """(doc_id, node, root, class_id, class_size, n_links), a row for each row of ``docs``; ``root`` is the class's own, ``class_id``
+    may be that of several; ``n_links`` counts the verified links of the row's text to other texts, those of texts that
+    other links join already aside."""
     sketched = store.write_once(sketch(docs, doc, text, bands, rows), "sketches")
-    roots = links(sketched, nodes(docs, doc, text).select("node", "t"), similarity)
-    placed = store.write_once(sketched.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "placed")
+    roots, found = links(sketched, nodes(docs, doc, text).select("node", "t"), similarity, rows)
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    marks = roots.join(degree, "node", "left")
+    placed = sketched.select("doc_id", "node").join(marks, "node", "left")
+    placed = store.write_once(placed.select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
+    store.drop(sketched)
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(classes, "root").select("doc_id", "node", "root", "class_id", "class_size")
+    return placed.join(classes, "root").select("doc_id", "node", "root", "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -223,9 +317,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     columns = docs.columns
     classes = near_classes(docs, similarity)
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
-    row, n = "_row", "_n"
-    while row in columns or n in columns:
-        row, n = row + "_", n + "_"
+    row = "_row"
+    while row in columns:
+        row += "_"
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias(row), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))).alias("_node"), docs["doc_id"].alias("_id"))
     ids = keyed.withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("null")))
     kept = kept.select(F.col("least.node").alias("_node"), F.coalesce(F.col("least.doc_id").cast("string"), F.lit("null")).alias("_key"))

@@ -48,7 +48,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+    return near.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_links")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

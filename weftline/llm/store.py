@@ -1,17 +1,27 @@
-"""Tables written once in the shared folder, so that a lost executor costs a re-read and not a recomputation."""
+"""Tables written once in the shared folder, so that a lost executor costs a re-read and not a recomputation.
+
+A table lasts until ``drop`` deletes it, until the ``scope`` it was written in ends, or until the driver's Python process ends,
+on clusters as well; nothing else deletes one, so a DataFrame over it stays good while other operators run.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 _own: dict[str, str] = {}
-_written: list[str] = []
+_written: set[str] = set()
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def base(spark: SparkSession) -> str:
@@ -27,43 +37,75 @@ def base(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def folder(spark: SparkSession, name: str, lasting: bool = False) -> str:
-    """A new path for ``name`` below the shared folder; nothing is created yet. ``clear`` spares lasting ones."""
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` below the shared folder; nothing is created yet."""
     path = f"{base(spark)}/weftline/{uuid.uuid4().hex}-{name}"
-    if not lasting:
-        _written.append(path)
+    _written.add(path)
+    held = _scope.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: computed exactly once, with its lineage cut."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def write_once(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read back: computed exactly once, with its lineage cut.
+
+    The shuffle files of the writing are deleted with it, as nothing can ask for them again. ``spread``: small partitions
+    are left apart, for work that costs much time for few bytes.
+    """
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
+    with _set(spark, {CLEANUP: "true"} | ({COALESCE: "false"} if spread else {})):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+@contextlib.contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    known = {k: v for k, v in before.items() if v is not None}
+    for k in known:
+        spark.conf.set(k, settings[k])
+    try:
+        yield
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+
+
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables of ``write_once`` that nothing reads any more, and has Spark delete the shuffle files of finished
-    jobs, which it otherwise keeps until the driver's JVM happens to collect its garbage."""
+    """Deletes tables of ``write_once`` that nothing reads any more."""
     for df in tables:
         _delete(df._written)
-        _written.remove(df._written)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
-def clear() -> None:
-    """Deletes every table this process has written; only for callers that hold no DataFrame over one."""
-    while _written:
-        _delete(_written.pop())
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, what was written inside and by no other caller."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        held = _scope.get()
+        _scope.reset(token)
+        for path in held:
+            _delete(path)
 
 
 def _delete(where: str) -> None:
-    files, path = filesystem(where)
-    if files.get_file_info(path).type != pafs.FileType.NotFound:
-        files.delete_dir(path)
+    if where in _written:
+        _written.discard(where)
+        files, path = filesystem(where)
+        if files.get_file_info(path).type != pafs.FileType.NotFound:
+            files.delete_dir(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for path in list(_written):
+        with contextlib.suppress(OSError):
+            _delete(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
