@@ -265,28 +265,56 @@ def test_mixing_edges(spark):
     for source, goal in want.items():
         mine = [r for r in got if r.key == ("n" if source is None else "s" + source)]
         assert all(r.source_size == sizes[source] and abs(r.target - goal) < 1e-6 * max(1, goal) for r in mine)
-        assert abs(sum(r.taken for r in mine) - goal) <= 64
+        assert abs(sum(r.taken for r in mine) - goal) <= 1
     assert all(0 <= r.taken <= 3 * r.size for r in got)
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.takes(frame(spark, rows)).collect()), key=key)
     assert mixing.takes(frame(spark, [])).collect() == []
 
 
-def test_mix_blocks_add_up(spark):
-    docs = frame(spark, [(k, prose(k, 30 + k), "en", "ab"[k % 2], 1) for k in range(40)])
-    taken = mixing.takes(docs)
-    total = taken.agg(F.sum("size")).first()[0]
-    block = mixing.block_words(total)
-    sizes = docs.select("source", mixing.words(F.col("text")).alias("size"))
-    slots = mixing.schedule(mixing.targets(sizes), total, block)
-    made = mixing.blocks(taken, slots, block)
-    by_doc = {r.doc_id: r.n for r in made.groupBy("doc_id").agg(F.sum(F.col("upto") - F.col("first")).alias("n")).collect()}
-    assert by_doc == {r.doc_id: r.taken for r in taken.where("taken > 0").collect()}
-    out = mixing.mix(docs)
+def test_mix_follows_the_schedule(spark):
+    rows = [(k, prose(k, 30 + k), "en", "abc"[min(2, k % 7)], 1) for k in range(80)]
+    docs = frame(spark, rows)
+    made, placed = mixing.blocks(docs, block=64)
+    made, docs_of, by_key = made.collect(), {r.row: r for r in placed.collect()}, collections.defaultdict(list)
+    taken = collections.Counter()
+    for r in made:
+        taken[docs_of[r.row].doc_id] += r.upto - r.first
+        d = docs_of[r.row]
+        by_key[d.key].append((r.slot, r.lap * d.source_size + d.pos + r.first, r.upto - r.first))
+    for key_, parts in by_key.items():  # slots in order give the source's stream without a gap, in blocks of 64 words
+        parts.sort()
+        at = 0
+        for _, start, n in parts:
+            assert start == at
+            at += n
+        filled = collections.Counter()
+        for slot, _, n in parts:
+            filled[slot] += n
+        assert sorted(filled.values())[1:] == [64] * (len(filled) - 1)
+    total = sum(sum(n for *_, n in p) for p in by_key.values())
+    for key_, parts in by_key.items():  # any stretch of the schedule is near the mix
+        share = sum(n for *_, n in parts) / total
+        for upto in range(10, total // 64):
+            assert abs(len({s for s, *_ in parts if s < upto}) - share * upto) < 4
+    out = mixing.mix(docs, block=64)
     assert out.columns == docs.columns
     words = collections.Counter()
     for r in out.collect():
         words[r.doc_id] += len(r.text.split())
-    assert words == by_doc
+    assert words == taken == collections.Counter({r.doc_id: r.taken for r in mixing.takes(docs, block=64).collect() if r.taken})
+    order = [r.doc_id for r in out.coalesce(1).collect()]
+    copies = {}
+    for r in made:
+        copies[r.row, r.lap] = min(copies.get((r.row, r.lap), 1 << 60), r.slot)
+    assert order == [docs_of[row].doc_id for _, _, _, row in sorted((slot, lap, docs_of[row].pos, row) for (row, lap), slot in copies.items())]
+
+
+def test_mix_edges(spark):
+    assert mixing.mix(frame(spark, [])).collect() == []
+    got = mixing.mix(frame(spark)).collect()
+    assert got and all(r.size == "x-size" for r in got)
+    long = sum(len(WORD.findall(r.text)) for r in got if r.doc_id == 6)
+    assert 0 < long <= 3 * len(WORD.findall(LONG))
 
 
 # ---- 8: fingerprints ----

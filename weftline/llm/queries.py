@@ -40,7 +40,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.takes(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.takes(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +108,15 @@ a as (select source, sum(size)::bigint as source_size, row_number() over (order
 w as (select *, [5, 2, 1][(rank - 1) % 3 + 1]::double as weight, (3 * source_size)::double as cap from a),
 l as (select *, ((sum(source_size) over ()) - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0)) / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0)) as level from w),
 t as (select *, least(cap, coalesce(max(case when level <= cap / weight then level end) over (), 0) * weight) as target from l),
-b as (select sum(source_size)::bigint as total, greatest(16, least(2048, sum(source_size)::bigint // 131072)) as block from a),
-h as (select *, least(2147483648, round(sum(target) over (order by rank) / greatest(sum(target) over (), 1) * 2147483648))::bigint as high from t),
+r as (select *, round(target)::bigint as stream from t),
+n as (select ((sum(stream) + 1023) // 1024)::bigint as slots from r),
+h as (select *, least(2147483648, round(sum(target) over (order by rank) / greatest(sum(target) over (), 1) * 2147483648))::bigint as high from r),
 i as (select *, coalesce(lag(high) over (order by rank), 0) as low from h),
-slots as (select x * 1327217885 % 2147483648 as point from (select unnest(range((total + block - 1) // block)) as x from b)),
-n as (select i.rank, count(*) as slots from slots join i on point >= low and point < high group by 1),
-q as (select i.source, source_size, target, least(coalesce(slots, 0) * (select block from b), 3 * source_size) as stream from i left join n using (rank)),
-o as (select d.*, coalesce(sum(size) over (partition by source order by at_hash, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as pos from d)
-select doc_id, size, source_size, target, (case when source_size > 0 then stream // source_size * size + greatest(0, least(size, stream % source_size - pos)) else 0 end)::bigint as taken from o join q on o.source is not distinct from q.source""",
+g as (select rank, row_number() over (partition by rank order by slot) - 1 as j, slot from (select slot, slot * 1327217885 % 2147483648 as point from (select unnest(range(slots)) as slot from n)) join i on point >= low and point < high),
+m as (select r.rank, stream, count(g.j) as have, (stream + 1023) // 1024 as need from r left join g using (rank) group by all),
+e as (select rank, have, need, (select slots from n) + coalesce(sum(need - have) over (order by rank rows between unbounded preceding and 1 preceding), 0) as base from m where need > have),
+f as (select rank, j, slot from g union all select rank, j, base + j - have from (select *, unnest(range(have, need)) as j from e)),
+q as (select d.*, source_size, target, stream, rank, coalesce(sum(size) over (partition by d.source order by at_hash, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as pos from d join r on r.source is not distinct from d.source)
+select doc_id, size, source_size, target, (case when source_size > 0 then stream // source_size * size + greatest(0, least(size, stream % source_size - pos)) else 0 end)::bigint as taken,
+case when size > 0 and pos < stream then slot end::bigint as first_slot from q left join f on f.rank = q.rank and f.j = pos // 1024""",
 }
