@@ -18,6 +18,7 @@ ROWS = [
     (3, "", "en", "a", 0), (4, None, "en", None, None), (5, "  \n\t ", None, "c", 3), (6, LONG, "en", "d", len(LONG)),
     (7, "one two", "en", "a", 7), (7, "one two", "en", "a", 7), (7, prose(3, 50), "en", "a", 7), (None, prose(4, 40), "en", "a", 1),
     (None, None, None, None, None), (8, "wörd " * 400, "de", "b", 2000), (9, "日本語 テキスト\x1c x y", "ja", "😀", 9), (10, prose(1, 119) + " changed.", "en", "b", 1),
+    (11, "\n".join(f"Bonjour\u00a0{k} le chat dort" for k in range(30)), "fr", "a", 1), (12, "\n".join(f"Oui\u00a0{k}\u2028a b\u0085c d\u00a0?" for k in range(30)), "fr", "a", 1), (13, "\n".join(f"ÉTÉ\u00a0{k} ÇA VA ß\u3000!" for k in range(30)), "fr", "c", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.

@@ -171,6 +171,13 @@ def test_quality_junk_lines(line):
     assert not quality.judge(text + "\n" + prose(3, 5))[6]
 
 
+@pytest.mark.parametrize("word", ["cookies", "copyright", "javascript", "a newsletter", "all rights reserved"])
+def test_quality_keeps_paragraphs_that_name_a_notice(word):
+    text = f"{prose(1, 30)} The word {word} stands in it. {prose(2, 30)}"
+    assert quality.judge(text)[6] and quality.judge(text)[-1] == text
+    assert quality.line_fault(word.capitalize() + " here.", False) == "boilerplate"
+
+
 def test_quality_keeps_prose(spark):
     text = "\n".join(prose(k, 30) for k in range(8))
     assert quality.judge(text)[6] and quality.judge(text)[-1] == text

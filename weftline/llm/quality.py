@@ -1,15 +1,17 @@
 """Line-first quality rules.
 
+Words are ``[^\\x20\\x09-\\x0D]+`` everywhere; other blanks, such as the no-break space before French marks, are part of a word.
 Every line with a word is judged by itself. It fails by
-- *punctuation*: it ends in no closing mark and is not short prose of letters alone after a marked line;
-- *navigation*: separators or menu words make up much of it;
-- *boilerplate*: it is a notice (licence, cookies, rights), repeats an earlier line of the text, is mostly symbols
-  or capitals with exclamation marks, or one word fills most of it.
+- *punctuation*: it has fewer than five words, no closing mark at its end and no full stop, exclamation or question mark inside;
+- *navigation*: two or more separators, at least one to five words, or a line of at most 12 words a third of which are menu words;
+- *boilerplate*: notices (licence, cookies, rights) in a line of at most ten words for each, a repeated
+  earlier line of the text, mostly symbols or capitals, or one word that fills most of it.
 Failing lines are removed, and a document that keeps less than ``min_kept`` of its word characters is rejected,
 as is one that fails the base rules (too short, or too much of it in repeated windows).
 
 One pass over each text in its own task, no shuffle. A null text has no words and fails the base rules, as does an
-empty one; a null id is passed through; repeated rows are judged alike; other columns are ignored.
+empty one; a null id is passed through; repeated rows are judged alike; a very long text is judged whole, in memory a few times its
+size; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +27,9 @@ from pyspark.sql import DataFrame
 
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 ENDS = tuple(".!?:;…\"'”’»)]。！？")
-NAVIGATION = re.compile(r"\b(?:home|menu|login|log in|sign up|sign in|next|previous|prev|share|tweet|contact us|about us|sitemap|back to top|read more|click here|breadcrumb)\b")
-NOTICES = (
-    "all rights reserved", "licensed under", "licenced under", "released under the", "creative commons", "terms of use", "terms of service",
-    "privacy policy", "cookie", "javascript", "subscribe", "newsletter", "copyright", "©",
-)
+NAVIGATION = re.compile(r"\b(?:home|menu|login|log in|sign up|sign in|next|previous|prev|share|tweet|contact us|about us|sitemap|back to top|read more|click here|breadcrumb)\b", re.ASCII)
+NOTICES = re.compile(r"\b(?:all rights reserved|licensed under|licenced under|released under the|creative commons|terms of use|terms of service|privacy policy|cookies?|javascript|subscribe|newsletter|copyright)\b|©", re.ASCII)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kept_chars long, lines_failed string, cleaned string"
 
@@ -63,21 +63,21 @@ def repeat_words(words: list[bytes], window: int = 8) -> int:
 def line_fault(line: str, seen: bool) -> str | None:
     """The rule that ``line`` fails, or None."""
     low = line.lower()
-    if seen or any(x in low for x in NOTICES):
-        return "boilerplate"
-    words = line.split()
+    words = WORD.findall(line)
     n = len(words)
+    if seen or n <= 10 * len(NOTICES.findall(low)):
+        return "boilerplate"
     bars = line.count("|") + line.count("»") + line.count("›")
     if bars >= 2 and 5 * bars >= n or n <= 12 and 3 * len(NAVIGATION.findall(low)) >= n:
         return "navigation"
     symbols = sum(map(line.count, SYMBOLS))
     if 10 * symbols > n and symbols >= 3:
         return "boilerplate"
-    if n >= 4 and 10 * sum(map(str.isupper, words)) > 7 * n and len(line) > 12:
+    if n >= 4 and 10 * sum(w.upper() == w != w.lower() for w in words) > 7 * n and len(line) > 12:
         return "boilerplate"
     if n >= 8 and (3 * Counter(words).most_common(1)[0][1] > n or 5 * sum(map(eq, words, words[1:])) > 2 * n):
         return "boilerplate"
-    if not line.rstrip().endswith(ENDS) and not any(c in line for c in ".!?。") and n < 5:
+    if not line.rstrip(SPACE).endswith(ENDS) and not any(c in line for c in ".!?。") and n < 5:
         return "punctuation"
     return None
 

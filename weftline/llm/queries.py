@@ -89,10 +89,10 @@ w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from
 g as (select r, i, array_to_string(list_slice(w, i, i + 7), ' ') as g from (select r, unnest(range(1, greatest(1, len(w) - 6))) as i, w from w)),
 again as (select r, count(distinct i + k) as n_repeat from (select r, i, count(*) over (partition by r, g) as n from g), (select unnest(range(8)) as k) where n > 1 group by r),
 l as (select r, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d),
-x as (select r, i, line, lower(line) as low, regexp_extract_all(line, '\S+') as v, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as chars, row_number() over (partition by r, line order by i) > 1 as seen,
+x as (select r, i, line, lower(line) as low, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as v, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as chars, row_number() over (partition by r, line order by i) > 1 as seen,
 length(line) - length(regexp_replace(line, '[|»›]', '', 'g')) as bars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) as symbols from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
 m as (select r, i, max(c) as top from (select r, i, u, count(*) as c from (select r, i, unnest(v) as u from x) group by all) group by all),
-f as (select r, chars, seen, seen or {" or ".join(f"contains(low, '{n}')" for n in quality.NOTICES)}
+f as (select r, chars, seen, seen or len(v) <= 10 * len(regexp_extract_all(low, '{quality.NOTICES.pattern}'))
 or bars >= 2 and 5 * bars >= len(v) or len(v) <= 12 and 3 * len(regexp_extract_all(low, '{quality.NAVIGATION.pattern}')) >= len(v)
 or 10 * symbols > len(v) and symbols >= 3
 or len(v) >= 4 and length(line) > 12 and 10 * len(list_filter(v, lambda u: upper(u) = u and lower(u) <> u)) > 7 * len(v)
