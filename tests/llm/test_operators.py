@@ -507,11 +507,43 @@ def test_grammar_rewrites():
     def read(symbols):
         state, out = begin, ""
         for a in symbols:
-            state, b = machine[state][a]
+            state, b, _ = machine[state][a]
             out += b
         return out
 
-    assert read("OIO") == "OIO" and read("TOI") == "TOJ" and read("NOI") == "NOi" and read("ROI") == "ROq" and read("NOOOOOI")[-1] == "I" and read("TH")[-1] == "K"
+    assert read("OLO") == "OIO" and read("TOL") == "OOJ" and read("NOL")[-1] == "i" and read("ROL")[-1] == "q" and read("NOOOOOL")[-1] == "I"
+    assert read("MV")[-1] == "H" and read("TMV")[-1] == "K" and read("LOT")[-1] == "D" and read("NRL")[-1] == "q"
+    assert read("V") == "O" and read("MOOOOOV")[-1] == "O"  # a word of harm alone is no threat
+
+
+def clause(text, insults=("dolt",)):
+    return toxicity.match([("L", 5.0) if w in insults else (toxicity.CLASS.get(w, "O"), 4.0) for w in text.lower().split()])
+
+
+def test_grammar_scores_clauses():
+    assert clause("you are a dolt") == ("J", 6.0) == clause("what a dolt you are")
+    assert clause("what a dolt") == ("I", 5.0) and clause("he is not a dolt")[0] == "i" and clause("she said he was a dolt") == ("q", 3.5)
+    assert clause("i will hurt you") == ("H", 4.0) or clause("i will hurt you")[0] == "K"
+    assert clause("you should die")[0] == "K" and clause("they burn wood") is None and clause("a dolt and a dolt and a dolt") == ("I", 5.0)
+
+
+def test_toxicity_of_clauses(spark):
+    """The same insult, directed in toxic texts and denied or quoted in others: words alone cannot tell them, the grammar does."""
+    rows, marks = [], []
+    for k in range(900):
+        said = (["you are a dolt", "they are all dolt", "your face dolt"], ["she said he was a dolt", "it is not a dolt", "never call it dolt"])[k % 2][k // 2 % 3]
+        rows.append((k, f"{prose(k, 20)} {said}. {prose(k + 1, 20)}", "en", "a", 1))
+        marks.append((k, 1 - k % 2))
+    rows += [(1000 + k, prose(k, 40), "en", "a", 1) for k in range(900)]
+    marks += [(1000 + k, 0) for k in range(900)]
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    table = np.zeros(toxicity.CELLS)
+    table[np.unique(toxicity.cells("dolt")[1])] = 5.0
+    truth = dict(marks)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    w = toxicity.fit(np.array([toxicity.features(r[1], table) for r in train]), np.array([truth[r[0]] for r in train], float))
+    got = [r for r in toxicity.scores(docs, (table, w)).collect() if r.held_out]
+    assert len(got) > 200 and sum(r.predicted == truth[r.doc_id] for r in got) >= 0.98 * len(got)
 
 
 def lcs(a, b):

@@ -1,19 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as symbols: I insult, H threat, T target, N negation, R reported speech, O other. Three transducers
-rewrite them one after another and are composed into one machine before any text is read: negation turns an I or H
-within a few words of an N into i or h, reported speech turns what follows an R into q, and the target transducer turns an I
-or H after a T of its clause into its directed form (J, K). What is scored is the matched clauses: counts of each
-final symbol, weighted by the lexical weight of the word, and of clauses with a match, go into a logistic score.
-
-Insults are learned: words, their beginnings, and four- and five-grams of letters, by the documents of each label that have them (in 2^20 hash cells, so the tables are of fixed size).
+A clause is read as symbols: L a word that holds an insult's letters, V a verb of harm, M a word of intent, T target, N negation, R
+reported speech, O other. Five weighted transducers rewrite them one after another and are composed into one machine before any text is
+read. *Insult* writes I for L. *Threat* writes H for a V within a few words of an M; a V alone is nothing. *Negation* turns an I or H within a few words after
+an N into i or h. *Reported speech* turns what follows an R into q. *Target* turns an I or H after a T of its clause into its
+directed form (J, K), and writes D for a T soon after one. Each arc has a weight, and a word's weight is that of its path, the sum of its
+letters' arcs.
+
+What is scored is the clause: of the patterns that it matches the one of most weight counts, once, however many words match. A document's
+features are the summed weights of each pattern's clauses, their number and the weight of the best; they go into a logistic score. An insult
+without a target is a pattern of its own, the weakest of those not negated, since labels mark such clauses.
+
+The insult transducer's arcs are learned: words, their beginnings, and four- and five-grams of letters, by the documents of each label that have them (in 2^20 hash cells, so the tables are of fixed size).
 A gram joins the lexicon with its log odds if the two labels' counts differ beyond chance. Lexicon and logistic weights are
 fitted on at most ``sample`` of the labelled rows; every row is scored.
 
 Only the text is an input. A row may be learned from if crc32 of its id as text is not divisible by five.
 
 Edge cases: a null or empty text scores as one without a match; a null id is held out; null labels are not learned from; rows
-that repeat an id are scored each; with no label to learn from, or labels of one kind, the lexicon is empty and the score constant;
+that repeat an id are scored each; a very long text is scored whole, all its clauses; with no label to learn from, or labels of one kind, the lexicon is empty and the score constant;
 columns other than doc_id and text are ignored.
 """
 
@@ -34,49 +39,79 @@ from weftline.llm.substring import ranges
 CELLS, GRAMS, HEADS, BASE = 1 << 20, (4, 5), (4, 6), 0xC2B2AE3D27D4EB4F
 CLAUSE = re.compile(r"[.!?;\n]+")
 WORDS = {
-    "H": "kill hurt destroy die shoot stab beat burn hang murder tuer töten sterben matar morir mourir".split(),
+    "V": "kill hurt destroy die shoot stab beat burn hang murder töten umbringen schlagen sterben verbrennen tuer frapper brûler mourir crever matar golpear quemar morir".split(),
+    "M": "will i'll gonna going shall should must ought deserve deserves hope werde werden sollte soll muss vais va vas doit devrait mérite voy va vas debe debería merece ojalá".split(),
     "T": "you your yours u he she they him her them his their these those tu vous toi ils elles du ihr sie dich euch usted ustedes ellos".split(),
-    "N": "not no never none nobody don't isn't aren't wasn't ne pas jamais nicht kein keine nie nunca jamás sin".split(),
+    "N": "not no never none nobody don't isn't aren't wasn't won't ne pas jamais nicht kein keine nie nunca jamás sin".split(),
     "R": "said says called calls wrote told quoted according dit disait sagte sagt laut dijo dice según".split(),
 }
 CLASS = {w: c for c, ws in WORDS.items() for w in ws}
-FINAL = "IHJKihq"
+INPUT, FINAL = "LVMTNRO", "IHJKihq"
+NEGATED, REPORTED, DIRECTED, THREAT = -2.0, -1.5, 1.0, 4.0
 
-Machine = dict[tuple, dict[str, tuple[tuple, str]]]
+Machine = dict[tuple, dict[str, tuple[tuple, str, float]]]
 
 
-def _machine(start: tuple, step) -> Machine:
-    """All states reachable from ``start``; step(state, symbol) gives the next state and what is written."""
+def _machine(start: tuple, alphabet: str, step) -> Machine:
+    """All states reachable from ``start``; step(state, symbol) gives the next state, what is written, and the arc's weight."""
     out: Machine = {}
     todo = [start]
     while todo:
         s = todo.pop()
         if s in out:
             continue
-        out[s] = {a: step(s, a) for a in "IHTNROihq"}
-        todo += [n for n, _ in out[s].values()]
+        out[s] = {a: step(s, a) for a in alphabet}
+        todo += [n for n, *_ in out[s].values()]
     return out
 
 
+def insult() -> Machine:
+    return _machine((0,), INPUT, lambda s, a: (s, "I" if a == "L" else a, 0.0))
+
+
+def threat(reach: int = 4) -> Machine:
+    def step(s, a):
+        left = reach if a == "M" else max(0, s[0] - 1)
+        return (left,), ("H" if s[0] else "O") if a == "V" else "O" if a == "M" else a, 0.0
+
+    return _machine((0,), "IVMTNRO", step)
+
+
 def negation(reach: int = 4) -> Machine:
     def step(s, a):
         if a == "N":
-            return (reach,), a
-        return (max(0, s[0] - 1),), a.lower() if s[0] and a in "IH" else a
+            return (reach,), "O", 0.0
+        hit = s[0] and a in "IH"
+        return (max(0, s[0] - 1),), a.lower() if hit else a, NEGATED if hit else 0.0
 
-    return _machine((0,), step)
+    return _machine((0,), "IHTNRO", step)
 
 
 def reported() -> Machine:
-    return _machine((0,), lambda s, a: ((1,), a) if a == "R" else (s, "q" if s[0] and a in "IHih" else a))
+    def step(s, a):
+        if a == "R":
+            return (1,), "O", 0.0
+        hit = s[0] and a in "IHih"
+        return s, "q" if hit else a, REPORTED if hit else 0.0
 
+    return _machine((0,), "IHihTRO", step)
 
-def target() -> Machine:
-    return _machine((0,), lambda s, a: ((1,), a) if a == "T" else (s, {"I": "J", "H": "K"}.get(a, a) if s[0] else a))
+
+def target(reach: int = 4) -> Machine:
+    """State: whether a target was read, and for how many more words one would still be that of the last insult or threat."""
+
+    def step(s, a):
+        if a == "T":
+            return (1, 0), "D" if s[1] else "O", DIRECTED if s[1] else 0.0
+        if a in "IH":
+            return (s[0], 0 if s[0] else reach), {"I": "J", "H": "K"}[a] if s[0] else a, DIRECTED if s[0] else 0.0
+        return (s[0], max(0, s[1] - 1)), a, 0.0
+
+    return _machine((0, 0), "IHihqTO", step)
 
 
 def compose(first: Machine, second: Machine) -> Machine:
-    """The machine that feeds what ``first`` writes to ``second``."""
+    """The machine that feeds what ``first`` writes to ``second``; weights of both arcs add up."""
     out: Machine = {}
     todo = [(next(iter(first)), next(iter(second)))]
     while todo:
@@ -84,19 +119,36 @@ def compose(first: Machine, second: Machine) -> Machine:
         if s in out:
             continue
         out[s] = {}
-        for a, (n, b) in first[s[0]].items():
-            m, c = second[s[1]][b]
-            out[s][a] = ((n, m), c)
+        for a, (n, b, v) in first[s[0]].items():
+            m, c, w = second[s[1]][b]
+            out[s][a] = ((n, m), c, v + w)
             todo.append((n, m))
     return out
 
 
 @functools.cache
 def grammar() -> tuple[tuple, Machine]:
-    machine = compose(compose(negation(), reported()), target())
+    machine = functools.reduce(compose, (insult(), threat(), negation(), reported(), target()))
     return next(iter(machine)), machine
 
 
+def match(symbols: list[tuple[str, float]]) -> tuple[str, float] | None:
+    """(pattern, weight) of a clause's best match; symbols with the weights of their words."""
+    state, machine = grammar()
+    found: list[tuple[float, str]] = []
+    for a, own in symbols:
+        state, written, weight = machine[state][a]
+        if written == "D" and found:
+            w, c = found[-1]
+            found[-1] = (w + weight, {"I": "J", "H": "K"}.get(c, c))
+        elif written in FINAL:
+            found.append((max(0.1, own + weight), written))
+    if not found:
+        return None
+    weight, pattern = max(found)
+    return pattern, weight
+
+
 @functools.cache
 def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -131,17 +183,16 @@ def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(text: str | None, weights: np.ndarray) -> list[float]:
-    """Per final symbol the summed lexical weight, then the number of matched clauses and of matched words."""
+    """Per pattern the weights of the clauses that it matches best, then the number of matched clauses and the weight of the best."""
     low = (text or "").lower()
     out = [0.0] * (len(FINAL) + 2)
     at, cell = cells(low)
     w = weights[cell]
     hot = np.flatnonzero(w)
-    threats = any(x in low for x in WORDS["H"])
+    threats = any(x in low for x in WORDS["V"])
     if not len(hot) and not threats:
         return out
     hits = sorted(zip(at[hot].tolist(), w[hot].tolist()))
-    begin, machine = grammar()
     k, start = 0, 0
     for m in [*CLAUSE.finditer(low), None]:
         stop = m.start() if m else len(low)
@@ -149,21 +200,20 @@ def features(text: str | None, weights: np.ndarray) -> list[float]:
         while k < len(hits) and hits[k][0] < stop:
             k += 1
         clause = low[start:stop]
-        if k > first or threats and any(x in clause for x in WORDS["H"]):
-            matched, state, j = False, begin, first
+        if k > first or threats and any(x in clause for x in WORDS["V"]):
+            symbols, j = [], first
             for word in re.finditer(r"\S+", clause):
-                a, b = start + word.start(), start + word.end()
-                best = 0.0
+                b = start + word.end()
+                path = 0.0
                 while j < k and hits[j][0] < b:
-                    best = max(best, hits[j][1])
+                    path += hits[j][1]
                     j += 1
-                symbol = "I" if best > 0 else CLASS.get(word.group().strip("\"'()[]{}.,:|*%$&#"), "O")
-                state, written = machine[state][symbol]
-                if written in FINAL:
-                    out[FINAL.index(written)] += best or 1.0
-                    out[-1] += 1
-                    matched = True
-            out[-2] += matched
+                symbols.append(("L", path) if path > 0 else (CLASS.get(word.group().strip("\"'()[]{}.,:|*%$&#"), "O"), THREAT))
+            found = match(symbols)
+            if found:
+                out[FINAL.index(found[0])] += found[1]
+                out[-2] += 1
+                out[-1] = max(out[-1], found[1])
         start = m.end() if m else stop
     return out
 
@@ -208,21 +258,33 @@ def lexicon(train: DataFrame, chance: float = 25.0) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic weights, the last the constant, by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Logistic weights, the last the constant, by Newton's method with steps halved until the penalized loss falls."""
     x = np.column_stack((np.log1p(x), np.ones(len(x))))
     w = np.zeros(x.shape[1])
     if not len(y):
         return w
+    scale = np.maximum(1e-9, np.sqrt((x**2).mean(0)))
+    x = x / scale
     penalty = np.full(len(w), ridge * max(1.0, len(y) / 1000))
     penalty[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-8 * max(1.0, before):
             break
-    return w
+    return w / scale
 
 
 def score(x: list[float], w: np.ndarray) -> float:
