@@ -13,11 +13,11 @@ Equal windows have equal anchors, so only runs whose anchor occurs again can hol
 4. The spans of each text are joined to it, and the words that they cover are removed.
 
 A window's key is its own and its anchor's 64-bit hash, a text's key 96 bits; texts equal in full share one key, as
-what is removed from a text depends on nothing but its words. No group is gathered in one place: counts are partial sums, and joins
+what is removed from a text depends on nothing but its words, and where an anchor branches one of equal texts gives the windows of all. No group is gathered in one place: counts are partial sums, and joins
 have one unique side, so a skewed key of the other can be split.
 
 Edge cases: a null text has no words, as an empty one; one of fewer words than the window keeps all; rows that repeat an
-id are documents of their own; equal rows remove each other's words; an empty table gives no rows; other columns are ignored.
+id are documents of their own; a very long text is hashed in chunks of words, in memory a few times its size; equal rows remove each other's words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,7 +200,8 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     branching = classes.groupBy("anchor").agg(F.min("mult").alias("least")).where("least = 1").select("anchor")
     asked = classes.join(branching, "anchor", "left_semi").select("at.t", "at.s", F.struct("anchor", "at.first", "n", "mult").alias("span"))
     asked = asked.groupBy("t", "s").agg(F.collect_list("span").alias("spans"))  # at most a text's runs
-    each = store.write_once(windows_at(packed(keyed).join(asked, ["t", "s"]), window), "branch-windows")
+    once = packed(keyed).join(asked, ["t", "s"]).dropDuplicates(["t", "s"])  # one of equal texts speaks for all
+    each = store.write_once(windows_at(once, window), "branch-windows")
     store.drop(classes)
     twice = each.groupBy("anchor", "h").agg(F.sum("mult").alias("total")).where("total > 1").select("anchor", "h")
     partly = each.where("mult = 1").join(twice, ["anchor", "h"], "left_semi").select("t", "s", F.col("start").alias("first"), F.lit(1).alias("n"))
