@@ -358,6 +358,53 @@ def test_fingerprint_edges(spark):
     assert fingerprint.with_edits(frame(spark, [])).collect() == []
 
 
+def lanes_by_force(text):
+    """Both vectors from their definition."""
+    import xxhash
+
+    exact, near_ = [0] * 16, [0] * 64
+    for p in (" ".join(WORD.findall(x)) for x in text.split("\n")):
+        if not p:
+            continue
+        d = hashlib.sha512(p.encode()).hexdigest()
+        exact = [(x + int(d[8 * k : 8 * k + 8], 16)) % (1 << 32) for k, x in enumerate(exact)]
+        w = p.split(" ")
+        for i in range(len(w)):
+            h = 42
+            for part in w[i : i + 3]:  # a missing word leaves the hash as it is
+                h = xxhash.xxh64_intdigest(part.encode(), seed=h)
+            h -= (h >> 63) << 64
+            near_[h & 63] += ((h >> 20) & 2) - 1
+    return exact, near_
+
+
+def test_fingerprints_by_force(spark):
+    got = fingerprint.with_edits(frame(spark)).collect()
+    order = sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = []
+
+    def text_of(v):
+        return "".join(f"{x % (1 << 32):08x}" for x in v[0] + v[1])
+
+    def likeness(a, b):
+        dot = lambda x, y: float(sum(p * q for p, q in zip(x, y)))
+        scale = (dot(a[1], a[1]) * dot(b[1], b[1])) ** 0.5
+        return 1.0 if a == b else 0.0 if not scale else min(1.0, max(0.0, dot(a[1], b[1]) / scale))
+
+    for k, r in enumerate(order):
+        t, n = r[1] or "", order[(k + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        a, b, c = (lanes_by_force(x) for x in (t, t[: len(t) - q] + n[:q], n))
+        want.append((r[0], text_of(a), text_of(b), round(likeness(a, b), 9), round(likeness(a, c), 9)))
+    assert sorted([(r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_fingerprint_lanes_do_not_wrap(spark):
+    rows = [(0, "same " * 40_000, "", "", 0), (1, prose(1, 9000), "", "", 0)]
+    got = {r.doc_id: r for r in fingerprint.with_edits(frame(spark, rows)).collect()}
+    assert got[0].near_edited > 0.9
+
+
 def test_fingerprint_is_a_multiset_hash(spark):
     a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
     rows = [(0, f"{a}\n{b}\n{c}", "", "", 0), (1, f"{c}\n{a}\n\n{b}", "", "", 0), (2, f"{a}\n{b}", "", "", 0), (3, c, "", "", 0), (4, f"{a}\n{b}\n{b}\n{c}", "", "", 0)]

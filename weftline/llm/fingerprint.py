@@ -2,14 +2,15 @@
 
 A text is the multiset of its paragraphs (lines with a word). Each paragraph gives a vector: 16 lanes of 32 bits from
 a SHA-512 of it, and 64 signed lanes that count the hashes of its three-word shingles. A document's fingerprint is the sum of
-its paragraphs' vectors, the first lanes modulo 2^32, the others modulo 2^16. Hence equal texts, and texts that
+its paragraphs' vectors, all lanes modulo 2^32, which no text's counts of shingles reach. Hence equal texts, and texts that
 differ in the order of paragraphs only, have equal fingerprints; a paragraph is inserted or deleted by adding or
 subtracting its vector (``combine``); and the likeness of two fingerprints is the cosine of their shingle lanes, near the share
 of shingles that they have in common.
 
 Edge cases: a null text counts as empty and has the zero vector; texts without a word are all alike (likeness 1), and
 unlike any text with one (0); a null id comes last in the order; rows that repeat an id follow each other in the
-order of their texts; an empty table gives no rows; other columns are ignored.
+order of their texts; a very long text is split and summed in one task, in memory some ten times its size; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm import store
+
 LANES, SHINGLES = 16, 64
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -44,13 +47,14 @@ def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return out.select(
         *keys,
         F.array(*[F.coalesce(F.col(f"x{k}"), zero).bitwiseAND((1 << 32) - 1) for k in range(LANES)]).alias("exact"),
-        F.array(*[F.pmod(F.coalesce(F.col(f"n{k}"), zero) + (1 << 15), F.lit(1 << 16)) - (1 << 15) for k in range(SHINGLES)]).alias("near"),
+        F.array(*[F.pmod(F.coalesce(F.col(f"n{k}"), zero) + (1 << 31), F.lit(1 << 32)) - (1 << 31) for k in range(SHINGLES)]).alias("near"),
     )
 
 
 def digest(exact: Column, near: Column) -> Column:
-    """Both vectors in hexadecimal: 128 and 256 digits."""
-    return F.concat(F.array_join(F.transform(exact, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.array_join(F.transform(near, lambda x: F.lpad(F.lower(F.hex(F.pmod(x, F.lit(1 << 16)))), 4, "0")), ""))
+    """Both vectors in hexadecimal: 128 and 512 digits."""
+    lane = lambda x: F.lpad(F.lower(F.hex(F.pmod(x, F.lit(1 << 32)))), 8, "0")
+    return F.array_join(F.transform(F.concat(exact, near), lane), "")
 
 
 def combine(a: Column, b: Column, bits: int, sign: int = 1) -> Column:
@@ -74,13 +78,13 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     return sums(rows, ["doc_id", "r"], "t").select("doc_id", digest(F.col("exact"), F.col("near")).alias("fingerprint"), "exact", "near")
 
 
-def neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows_per_bucket: int = 800) -> DataFrame:
-    """(bucket, rn, doc_id, t, next): every text with that of the next document by ascending id, cyclically.
+def neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows_per_bucket: int = 800) -> tuple[DataFrame, DataFrame]:
+    """(bucket, rn, doc_id, t, next), every text with that of the next document by ascending id, cyclically; and (bucket, following),
+    the text that comes after the last of each bucket.
 
     The ids are cut into ranges at approximate quantiles; texts move once, to their range, where a window finds the
-    next; only a range's last row looks into another, through a table of one row a range.
+    next; only a range's last row looks into another, through the second table of one row a range.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     n = rows.select(F.count("*")).first()[0]
     cuts = max(1, min(20_000, math.ceil(n / rows_per_bucket)))
@@ -100,21 +104,25 @@ def neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", rows_pe
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "t")).alias("first")).select("bucket", F.col("first.t").alias("first"))
     whole = Window.partitionBy(F.lit(0)).orderBy("bucket")
     firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(whole), F.first_value("first").over(whole)).alias("following"))
-    return ranged.join(firsts, "bucket").select("bucket", "rn", "doc_id", "t", F.coalesce("next", "following").alias("next"))
+    firsts = store.write_once(firsts, "range-firsts")
+    return ranged.join(firsts, "bucket").select("bucket", "rn", "doc_id", "t", F.coalesce("next", "following").alias("next")), firsts
 
 
 def with_edits(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of its edited text, whose last quarter is replaced by as much of the next
-    document's beginning, and its likeness to that and to the next document's."""
-    rows = neighbours(docs, doc, text)
+    document's beginning, and its likeness to that and to the next document's. The next document's lanes are those of the next row."""
+    rows, firsts = neighbours(docs, doc, text)
     n = F.length("t")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), n - quarter), F.substring("next", F.lit(1), quarter))
     rows = rows.withColumn("edited", edited)
     kept = ["bucket", "rn", "doc_id", "n_chars", "edited_sha256"]
-    texts = rows.select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("t", "edited", "next")).alias("k", "text"))
+    texts = rows.select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("t", "edited")).alias("k", "text"))
     lanes = sums(texts, [*kept, "k"], "text")
-    pick = [F.max(F.when(F.col("k") == k, F.struct("exact", "near"))).alias(f"v{k}") for k in range(3)]
+    pick = [F.max(F.when(F.col("k") == k, F.struct("exact", "near"))).alias(f"v{k}") for k in range(2)]
     both = lanes.groupBy("bucket", "rn").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), *pick)
+    both = both.withColumn("lead", F.lead("v0").over(Window.partitionBy("bucket").orderBy("rn")))
+    last = sums(firsts, ["bucket"], "following").select("bucket", F.struct("exact", "near").alias("beyond"))
+    both = both.join(last, "bucket").withColumn("v2", F.coalesce("lead", "beyond"))
     v = [(F.col(f"v{k}.exact"), F.col(f"v{k}.near")) for k in range(3)]
     return both.select("doc_id", "n_chars", "edited_sha256", digest(*v[0]).alias("fingerprint"), digest(*v[1]).alias("edited_fingerprint"), likeness(*v[0], *v[1]).alias("near_edited"), likeness(*v[0], *v[2]).alias("near_next"))
