@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import configparser
+import importlib
 import json
 import os
+import sys
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -14,6 +17,34 @@ DEFAULTS = {
 }
 
 
+def project_file(start: str = ".", name: str = "weftline.cfg") -> str | None:
+    """The nearest project file, from a folder upwards."""
+    folder = os.path.abspath(start)
+    while True:
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            return path
+        above = os.path.dirname(folder)
+        if above == folder:
+            return None
+        folder = above
+
+
+def project_settings(start: str = ".", project: str = "default", variable: str = "WEFTLINE_SETTINGS") -> dict[str, Any]:
+    """The upper-case names of the project's settings module, which the variable or the project file names; empty without either."""
+    module = os.environ.get(variable)
+    path = project_file(start)
+    if module is None and path is not None:
+        parser = configparser.ConfigParser()
+        parser.read(path)
+        module = parser.get("settings", project, fallback=None)
+    if module is None:
+        return {}
+    if path is not None and os.path.dirname(path) not in sys.path:
+        sys.path.insert(0, os.path.dirname(path))
+    return {k: v for k, v in vars(importlib.import_module(module)).items() if k.isupper()}
+
+
 class Settings(Mapping):
     """A later write wins if its layer is at least as high as that of the value that is there."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -117,19 +117,33 @@ def canonical(url: Column, keep_fragment: bool = False) -> Column:
     return F.concat(out, _kept(F.concat(F.lit("#"), fragment(url)), fragment(url) != "")) if keep_fragment else out
 
 
+def without_dots(path_: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; one that goes above the root stays at it."""
+    last = F.element_at(F.split(path_, "/"), -1)
+    segments = F.concat(F.split(path_, "/"), F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+
+    def step(held: Column, segment: Column) -> Column:
+        up = F.when(F.size(held) > 1, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(held)
+        return F.when(segment == ".", held).when(segment == "..", up).otherwise(F.concat(held, F.array(segment)))
+
+    made = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    return F.when(path_.rlike(r"(^|/)\.{1,2}(/|$)"), made).otherwise(path_)
+
+
 def join_absolute(base: Column, href: Column) -> Column:
-    """Joins a link that is absolute, scheme-relative or root-relative, else relative to the base's directory."""
+    """Joins a link that is absolute, scheme-relative or root-relative, else relative to the base's directory; dot segments go."""
     start = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.concat(F.regexp_replace(path(base), r"[^/]*$", ""))
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    way, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_replace(href, r"^[^?#]*", "")
     return (
         F.when(href.rlike(SCHEME), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(start, href))
+        .when(href.startswith("/"), F.concat(start, without_dots(way), rest))
         .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .when(href.startswith("?"), F.concat(start, path(base), href))
-        .otherwise(F.concat(start, folder, href))
+        .otherwise(F.concat(start, without_dots(F.concat(folder, way)), rest))
     )
 
 
@@ -182,19 +196,44 @@ def _tls(url: Column) -> Column:
 POLICIES = ("no-referrer", "no-referrer-when-downgrade", "same-origin", "origin", "strict-origin", "origin-when-cross-origin", "strict-origin-when-cross-origin", "unsafe-url")
 
 
-def referrer(policy: str, source: Column, goal: Column) -> Column:
-    """The Referer that a request from ``source`` to ``goal`` carries under a policy; null for none."""
-    whole, bare = strip(source), origin(source)
-    same = origin(source) == origin(goal)
-    strict = F.when((_tls(source) & _tls(goal)) | ~_tls(source), bare)
-    rule = {
+def referrer_parts(source: Column, goal: Column) -> dict[str, Column]:
+    """What the policies ask of a pair of URLs. Set as columns first, so that each is worked out once for all policies."""
+    return {"_whole": strip(source), "_bare": origin(source), "_there": origin(goal), "_from_tls": _tls(source), "_to_tls": _tls(goal), "_local": scheme(source).isin(*LOCAL_SCHEMES)}
+
+
+def referrer_rules(parts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """By policy, the Referer in terms of the columns that ``referrer_parts`` names; null for none."""
+    c = F.col if parts is None else parts.__getitem__
+    same, whole, bare = c("_bare") == c("_there"), c("_whole"), c("_bare")
+    strict = F.when((c("_from_tls") & c("_to_tls")) | ~c("_from_tls"), bare)
+    rules = {
         "no-referrer": F.lit(None).cast("string"),
-        "no-referrer-when-downgrade": F.when(~_tls(source) | _tls(goal), whole),
+        "no-referrer-when-downgrade": F.when(~c("_from_tls") | c("_to_tls"), whole),
         "same-origin": F.when(same, whole),
         "origin": bare,
         "strict-origin": strict,
         "origin-when-cross-origin": F.when(same, whole).otherwise(bare),
         "strict-origin-when-cross-origin": F.when(same, whole).otherwise(strict),
         "unsafe-url": whole,
-    }[policy or "no-referrer-when-downgrade"]
-    return F.when(~scheme(source).isin(*LOCAL_SCHEMES), rule)
+    }
+    return {name: F.when(~c("_local"), rule) for name, rule in rules.items()}
+
+
+def referrer(policy: str, source: Column, goal: Column) -> Column:
+    """The Referer that one request carries under one policy. For several, ``with_referrers`` works out the parts once."""
+    return referrer_rules(referrer_parts(source, goal))[policy or "no-referrer-when-downgrade"]
+
+
+def with_referrers(pairs: DataFrame, source: str, goal: str, out: dict[str, str | Column]) -> DataFrame:
+    """``pairs`` with a column for each name of ``out``: the Referer under a policy, or under the one that a column names."""
+    parts, rules = referrer_parts(F.col(source), F.col(goal)), referrer_rules()
+
+    def chosen(policy: str | Column) -> Column:
+        if isinstance(policy, str):
+            return rules[policy or "no-referrer-when-downgrade"]
+        made = F.lit(None).cast("string")
+        for name, rule in rules.items():
+            made = F.when(policy == name, rule).otherwise(made)
+        return made
+
+    return pairs.withColumns(parts).withColumns({name: chosen(policy) for name, policy in out.items()}).drop(*parts)

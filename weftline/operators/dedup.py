@@ -49,5 +49,29 @@ def bloom_seen(requests: DataFrame, set_bits: DataFrame, bits: int, k: int, comp
     return hits.groupBy(key).agg((F.count("hit") == F.count("*")).alias("seen"))
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+def outcomes_of_tests(events: DataFrame, committed: DataFrame | None = None, ttl: int = 180_000_000, key: str = "fp", at: str = "at", seq: str = "seq") -> DataFrame:
+    """Each test of (key, kind, at, seq) with ``verdict``: 'seen' for what is committed, 'in flight' for what an earlier test holds, else 'new'.
+
+    Kinds: test, request_ok, request_err, parse_ok. A test puts its key among those in flight; an ok or an error of the request takes it out,
+    and parse_ok commits it. The keys in flight go together once no test has come for ``ttl`` microseconds, as one limit holds for all of them and each
+    test renews it. ``committed``: keys of earlier runs.
+    """
+    ticks = events.where("kind = 'test'").select(F.floor(F.col(at) / 1_000_000).alias("s"), at).groupBy("s").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    by_time = Window.partitionBy(F.lit(0)).orderBy("s")  # one row a second that has tests
+    ticks = ticks.withColumn("gap", (F.col("first") - F.lag("last").over(by_time) > ttl).cast("int"))
+    spans = ticks.withColumn("epoch", F.coalesce(F.sum("gap").over(by_time), F.lit(0))).select(F.col("s").alias("_s"), F.col("epoch").alias("_epoch"))
+    rows = events.withColumn("_s", F.floor(F.col(at) / 1_000_000)).join(spans, "_s", "left")
+    before = Window.partitionBy(key).orderBy(at, seq).rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.col("kind") == "test", F.col("_epoch")).when(F.col("kind").isin("request_ok", "request_err"), F.lit(-1))
+    rows = rows.withColumns({"_held": F.last(mark, True).over(before), "_done": F.max(F.col("kind") == "parse_ok").over(before)})
+    if committed is not None:
+        rows = rows.join(committed.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    known = F.coalesce("_done", F.lit(False)) | (F.coalesce("_known", F.lit(False)) if committed is not None else F.lit(False))
+    verdict = F.when(known, "seen").when(F.col("_held") == F.col("_epoch"), "in flight").otherwise("new")
+    return rows.where("kind = 'test'").select(*events.columns, verdict.alias("verdict"))
+
+
+def filtered(requests: DataFrame, kept: DataFrame) -> DataFrame:
+    """(key, value): how many requests the filter took out."""
+    n = requests.agg(F.count("*").alias("a")).join(kept.agg(F.count("*").alias("b")))  # one row each
+    return n.select(F.lit("dupefilter/filtered").alias("key"), (F.col("a") - F.col("b")).alias("value"))

@@ -123,7 +123,7 @@ def ack_fencing(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {FRONTIER}, {LEASES}, p as (select task_id from leases where seq % 4 <> 0) select l.task_id, l.token from leases l join p using (task_id)")
 def lease_payload_join(spark: SparkSession, sf: str) -> DataFrame:
     leases = _leases(spark, sf)
-    return leases.join(leases.where("seq % 4 <> 0").select("task_id"), "task_id").select("task_id", "token")
+    return H.payloads(leases, leases.where("seq % 4 <> 0").select("task_id")).select("task_id", "token")
 
 
 @query(f"with {LOG} select seq, slot, (row_number() over (partition by slot order by at_us, seq) - 1) // 8 as wave from log")
@@ -160,8 +160,8 @@ EDGES = f"edges as (select page_id as src, (page_id * 31 + pos * 17 + 1) % (sele
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    n = S.table(spark, sf, "pages").count()
-    return S.outlinks(spark, sf).select(F.col("page_id").alias("src"), ((F.col("page_id") * 31 + F.col("pos") * 17 + 1) % n).alias("dst"))
+    n = S.table(spark, sf, "pages").agg(F.count("*").alias("n"))  # one row
+    return S.outlinks(spark, sf).join(F.broadcast(n)).select(F.col("page_id").alias("src"), ((F.col("page_id") * 31 + F.col("pos") * 17 + 1) % F.col("n")).alias("dst"))
 
 
 @query(f"with recursive {LINKS}, {EDGES}, walk as (select 0::bigint as node, 0 as depth union select e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.depth < 3) select node, min(depth)::int as depth from walk group by 1")

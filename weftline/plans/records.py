@@ -9,7 +9,7 @@ from weftline.functions import html as X
 from weftline.functions import urls as U
 from weftline.operators import items as I
 from weftline.operators import stats as A
-from weftline.plans.registry import LINKS, LOG, RESPONSES, query
+from weftline.plans.registry import HOST, LINKS, LOG, RESPONSES, query
 from weftline.sources import tables as S
 from weftline.streaming import state as T
 
@@ -45,10 +45,10 @@ def stats_by_transition(spark: SparkSession, sf: str) -> DataFrame:
     return A.counts(S.frontier(spark, sf).select(t.alias("t")), "scheduler", "t")
 
 
-@query(f"with {LOG} select epoch_us(min(ts)) as start, epoch_us(max(ts)) as finish, epoch_us(max(ts)) - epoch_us(min(ts)) as elapsed, count_if(kind = 'purchase') as item_scraped_count, count_if(ok) as response_received_count from log")
+@query(f"with {LOG} select epoch_us(min(ts)) as start, epoch_us(max(ts)) as finish, epoch_us(max(ts)) - epoch_us(min(ts)) as elapsed, 'finished' as finish_reason, count_if(kind = 'purchase') as item_scraped_count, count_if(ok) as response_received_count from log")
 def stats_core(spark: SparkSession, sf: str) -> DataFrame:
     log = S.download_log(spark, sf)
-    return log.agg(F.min("at").alias("start"), F.max("at").alias("finish"), (F.max("at") - F.min("at")).alias("elapsed"), F.count_if(F.col("kind") == "purchase").alias("item_scraped_count"), F.count_if("ok").alias("response_received_count"))
+    return A.core(log, F.col("kind") == "purchase", F.col("ok"))
 
 
 @query(f"with {LOG} select kind as key, count(*) as n, min(latency) as least, max(latency) as most, max_by(latency, r) as last from (select *, row_number() over (order by at_us, seq) as r from log) group by 1")
@@ -102,9 +102,12 @@ def param_counts(spark: SparkSession, sf: str) -> DataFrame:
     return q.groupBy(F.split_part("p", F.lit("="), F.lit(1)).alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("select s_nationkey as name, count(*) as n from supplier group by 1 having count(*) > 1")
+@query(f"with h as (select distinct {HOST.format('url')} as module from pages) select split_part(module, '.', -1) as name, count(*) as n, array_to_string(list_sort(list(module)), ' ') as modules from h group by 1 having count(*) > 1")
 def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
-    return S.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    """Spiders, one a host, that are named by their top-level domain."""
+    hosts = S.table(spark, sf, "pages").select(U.host(F.col("url")).alias("module")).distinct()
+    spiders = hosts.withColumn("name", F.element_at(F.split("module", r"\."), -1))
+    return A.duplicates(spiders).select("name", "n", F.array_join("modules", " ").alias("modules"))
 
 
 ITEMS = "base as (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_extendedprice) as l_extendedprice from lineitem where l_linestatus = 'F' group by 1, 2), batch as (select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem where l_linestatus = 'O')"

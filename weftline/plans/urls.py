@@ -77,10 +77,10 @@ select page_id, dst, null::varchar as no_referrer, case when not ts or td then w
 case when same then whole else bare end as origin_when_cross_origin, case when same then whole when (ts and td) or not ts then bare end as strict_origin_when_cross_origin, whole as unsafe_url from x""")
 def referrer_policies(spark: SparkSession, sf: str) -> DataFrame:
     p = S.table(spark, sf, "pages").select("page_id", "url")
-    n = p.count()
-    after = p.select(F.pmod(F.col("page_id") - 1, F.lit(n)).alias("page_id"), F.col("url").alias("dst"))
+    n = p.agg(F.count("*").alias("n"))
+    after = p.join(F.broadcast(n)).select(F.pmod(F.col("page_id") - 1, F.col("n")).alias("page_id"), F.col("url").alias("dst"))  # one row
     pairs = p.join(after, "page_id").select("page_id", F.col("url").alias("src"), "dst").unionByName(p.select("page_id", F.col("url").alias("src"), F.col("url").alias("dst")))
-    return pairs.select("page_id", "dst", *[U.referrer(x, F.col("src"), F.col("dst")).alias(x.replace("-", "_")) for x in U.POLICIES])
+    return U.with_referrers(pairs, "src", "dst", {x.replace("-", "_"): x for x in U.POLICIES}).drop("src")
 
 
 @query("""select c_custkey, 'http://h/' || case when true then '?' else '' end || 'name=' || replace(url_encode(c_name), '%20', '+') || '&seg=' || replace(url_encode(c_mktsegment), '%20', '+') as get_url, '' as get_body,
@@ -98,7 +98,7 @@ def header_default_merge(spark: SparkSession, sf: str) -> DataFrame:
     c = S.table(spark, sf, "customer").withColumn("headers", F.transform_keys(own, lambda k, v: U.header_name(k)))
     h = Q.with_defaults(F.col("headers"), F.create_map(F.lit("User-Agent"), F.lit("weft/1.0"), F.lit("Accept"), F.lit("text/html")))
     c = c.withColumn("h", h)
-    return c.select("c_custkey", F.col("h")["User-Agent"].alias("user_agent"), F.col("h")["Accept"].alias("accept"), F.coalesce(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("double")), F.lit(180.0)).alias("timeout"))
+    return c.select("c_custkey", F.col("h")["User-Agent"].alias("user_agent"), F.col("h")["Accept"].alias("accept"), R.default_timeout(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey"))).alias("timeout"))
 
 
 @query(f"with {RESPONSES} select page_id, status from responses where status between 200 and 299 or page_id % 20 = 7 or status = 404")
@@ -141,7 +141,7 @@ def url_length_filter(spark: SparkSession, sf: str) -> DataFrame:
 def depth_limit(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("page_id") % 4 != 0, F.col("page_id") % 4)
     rows = S.outlinks(spark, sf).select("page_id", F.col("pos").cast("long"), R.child_depth(own).alias("depth"))
-    return rows.where(R.within_depth(F.col("depth"), 3)).withColumn("priority", F.lit(100) - F.col("depth") * 10)
+    return rows.where(R.within_depth(F.col("depth"), 3)).withColumn("priority", R.child_priority(F.lit(100), F.col("depth"), 10))
 
 
 @query(f"with spiders(name, domain) as (values ('com', 'example.com'), ('net', 'example.net'), ('blog', 'ththan.example.net')) select s.name, p.page_id from pages p join spiders s on {HOST.format('p.url')} = s.domain or {HOST.format('p.url')} like '%.' || s.domain")
@@ -176,11 +176,11 @@ def proxy_pool(spark: SparkSession, sf: str) -> DataFrame:
     return S.proxies(s, 1_000_000).select(F.col("proxy").cast("long").alias("k"))
 
 
-@query(f"with {RESPONSES} select page_id, sum(greatest(octet_length(encode(html)), 1024)) over () as active, octet_length(encode('GET ' || url || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || {HOST.format('url')} || chr(13) || chr(10) || chr(13) || chr(10)))::int as wire from responses")
+@query(f"with {RESPONSES} select page_id, sum(greatest(octet_length(encode(html)), 1024)) over () as active, octet_length(encode('GET ' || regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?#]*', '') || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || {HOST.format('url')} || chr(13) || chr(10) || chr(13) || chr(10)))::int as wire from responses")
 def request_sizes(spark: SparkSession, sf: str) -> DataFrame:
     r = S.responses(spark, sf)
     total = r.agg(F.sum(F.greatest(F.octet_length("html"), F.lit(1024))).alias("active"))
-    wire = F.octet_length(F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\nHost: "), U.host(F.col("url")), F.lit("\r\n\r\n")))
+    wire = F.octet_length(R.wire(F.lit("get"), F.col("url"), F.create_map().cast("map<string,string>"), F.lit(None).cast("string")))
     return r.select("page_id", wire.alias("wire")).join(F.broadcast(total)).select("page_id", "active", "wire")  # one row
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,14 @@ def loads(payload: Column, schema: str = REQUEST) -> Column:
     return F.from_json(payload, schema)
 
 
+def requests_from(payload: Column, decode: Callable[[Column], dict[str, Column]] | None = None, schema: str = REQUEST) -> Column:
+    """A payload as a request; ``decode`` gets it as it was queued and returns the fields that it reads its own way."""
+    record = loads(payload, schema)
+    for name, value in (decode(payload) if decode else {}).items():
+        record = record.withField(name, value)
+    return F.when(payload.isNotNull(), record)
+
+
 def without_nulls(record: Column) -> Column:
     return F.map_filter(record, lambda k, v: v.isNotNull())
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import base64
+import functools
 import json
 import shlex
 from collections import Counter
 from urllib.parse import parse_qsl, quote_plus, urlsplit, urlunsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +57,8 @@ def merge_params(url: str, params: dict) -> str:
     return urlunsplit(parts._replace(query="&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in merged)))
 
 
-def parse_curl(command: str, ignore_unknown: bool = True) -> tuple:
-    """A curl command line as the fields of ``CURL``; the last says what is wrong with it."""
+@functools.cache
+def _curl_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(add_help=False, exit_on_error=False)
     parser.add_argument("url")
     parser.add_argument("-H", "--header", action="append", default=[])
@@ -66,11 +68,16 @@ def parse_curl(command: str, ignore_unknown: bool = True) -> tuple:
     parser.add_argument("-b", "--cookie", default="")
     for flag in ("--compressed", "-k", "--insecure", "-s", "--silent", "-v", "-L", "--location"):
         parser.add_argument(flag, action="store_true", dest="skipped")
+    return parser
+
+
+def parse_curl(command: str, ignore_unknown: bool = True) -> tuple:
+    """A curl command line as the fields of ``CURL``; the last says what is wrong with it."""
     try:
         words = shlex.split(command)
         if not words or words[0] != "curl":
             raise ValueError("not a curl command")
-        got, unknown = parser.parse_known_args(words[1:])
+        got, unknown = _curl_parser().parse_known_args(words[1:])
         if unknown and not ignore_unknown:
             raise ValueError(f"unknown options {unknown}")
     except (ValueError, argparse.ArgumentError, SystemExit) as e:
@@ -89,4 +96,19 @@ def parse_curl(command: str, ignore_unknown: bool = True) -> tuple:
     return url, (got.request or ("POST" if got.data else "GET")).upper(), data, headers, cookies, None
 
 
-from_curl = F.udf(parse_curl, CURL, useArrow=True)
+@F.pandas_udf(CURL)
+def from_curl(lines: pd.Series) -> pd.DataFrame:
+    """Command lines, a batch at a time, with one parser a worker."""
+    return pd.DataFrame([parse_curl(x or "") for x in lines], columns=CURL.names)
+
+
+@F.pandas_udf(T.StringType())
+def with_params(urls: pd.Series, params: pd.Series) -> pd.Series:
+    """URLs with the parameters of JSON objects merged into their queries."""
+    return pd.Series([None if u is None else u if p is None else merge_params(u, json.loads(p)) for u, p in zip(urls, params)], dtype=object)
+
+
+def json_request(method: Column, data: Column, raw: Column, headers: Column) -> tuple[Column, Column, Column]:
+    """(method, body, headers): POST where data is given without a method; a raw body wins over data."""
+    made = F.coalesce(F.upper(method), F.when(data.isNotNull() & raw.isNull(), F.lit("POST")).otherwise(F.lit("GET")))
+    return made, F.coalesce(raw, data, F.lit("")), json_headers(headers)
