@@ -217,6 +217,38 @@ def test_selectors(selector, want):
     assert (X.xpath if selector.startswith("/") else X.css)(root, selector) == want
 
 
+TABLE = "<div id=m><h2>H</h2><p>a</p><p class='k'>b</p><span>c</span><p>d, e</p><ul><li>1<li>2<li>3<li data-x='p,q'>4<li></ul><a href='/x' title='go [on]'>X y</a> <a name=n>Z</a></div>"
+
+
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("h2 + p", ["a"]), ("h2 ~ p", ["a", "b", "d, e"]), ("p:not(.k)", ["a", "d, e"]), ("li:nth-child(2)", ["2"]), ("li:nth-child(odd)", ["1", "3", ""]), ("li:nth-child(2n+2)", ["2", "4"]), ("li:nth-last-child(2)", ["4"]), ("p:nth-of-type(3)", ["d, e"]),
+        ("li:first-child, li:last-child", ["1", ""]), ("li[data-x='p,q']", ["4"]), ("li:empty", [""]), ("a[title='go [on]']::attr(href)", ["/x"]), ("p:contains('d, e')", ["d, e"]), ("li:nth-child(-n+2)", ["1", "2"]), ("div>p+p", ["b"]), ("h2:only-child", []),
+        ("//li[position()<3]", ["1", "2"]), ("//li[last()-0]", None), ("//li[last()]", [""]), ("//p[contains(., 'd') or @class='k']", ["b", "d, e"]), ("//a[not(@href)]", ["Z"]), ("//a[starts-with(@title, 'go [')]/@href", ["/x"]), ("//p[text()='a']", ["a"]),
+        ("//li[normalize-space()='3']/text()", ["3"]), ("//span/../h2", ["H"]), ("//div[count(p)=3]/h2", ["H"]), ("//h2 | //span", ["H", "c"]), ("//p[@class!='k']", []), ("//li[string-length(text())=1][2]", ["2"]), ("//p[2]/@class", ["k"]), ("//ul[li='4']/li[1]", ["1"]), ("//a/@*", ["/x", "go [on]", "n"]),
+    ],
+)
+def test_selectors_in_full(selector, want):
+    root = X.parse(TABLE)
+    if want is None:
+        with pytest.raises(ValueError):
+            X.xpath(root, selector)
+    else:
+        assert (X.xpath if selector.startswith("/") else X.css)(root, selector) == want
+
+
+def test_matches_and_follow(spark):
+    assert X.matches(["a1 b22", "c3"], r"[a-z](\d+)") == ["1", "22", "3"] and X.matches(["a1 b22"], r"\d+") == ["1", "22"]
+    pages = spark.createDataFrame([(1, "http://h/a/b", TABLE), (2, "http://h/", None)], "page_id long, url string, html string")
+    assert [(r.page_id, r.pos, r.url) for r in X.follow_all(pages, css="a").collect()] == [(1, 0, "http://h/x")] == [(r.page_id, r.pos, r.url) for r in X.follow_all(pages, xpath="//a").collect()]
+    assert sorted(r.url for r in X.follow_all(pages, urls=["c", "/d"]).collect()) == ["http://h/a/c", "http://h/c", "http://h/d", "http://h/d"]
+    for wrong in ({}, {"css": "a", "xpath": "//a"}):
+        with pytest.raises(ValueError):
+            X.follow_all(pages, **wrong)
+    assert [r.value for r in X.select(pages, {"n": "li"}, patterns={"n": r"[13]"}).collect()] == ["1", "3"]
+
+
 def test_text_and_encoding():
     assert X.visible_text(X.parse(PAGE)) == "onetwothree boldAB" and X.visible_text(X.parse(None)) == ""
     assert X.detect_encoding(b"abc") == "ascii" and X.detect_encoding("é".encode()) == "utf-8" and X.detect_encoding(b"\xe9") == "cp1252"

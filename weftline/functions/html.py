@@ -1,8 +1,10 @@
 """Selectors over stored pages: a small engine for CSS and XPath on the standard library's HTML parser.
 
-CSS: tag, ``*``, ``.class``, ``#id``, ``[attr]``, ``[attr=v]``, ``[attr^=v]``, ``[attr$=v]``, ``[attr*=v]``, descendant and child,
-lists by comma, ``::text`` and ``::attr(name)``. XPath: ``/``, ``//``, ``*``, ``@attr``, ``text()``, ``[@a='v']``, ``[@a]``, ``[n]``. Pages need
-not be well formed: void and unclosed elements, scripts and entities are taken as browsers do.
+CSS: tag, ``*``, ``.class``, ``#id``, attribute tests, the four combinators, lists by comma, ``:not``, ``:has-text``-like ``:contains``,
+``:empty``, ``:first-child``, ``:last-child``, ``:only-child``, ``:nth-child`` and ``:nth-of-type`` with their forms from the end, ``::text`` and
+``::attr(name)``. XPath: ``/``, ``//``, ``..``, ``*``, ``@attr``, ``text()``, and conditions of ``and``, ``or``, ``not()``, comparisons, positions, ``last()``,
+``contains``, ``starts-with``, ``normalize-space``, ``string-length``, ``count`` and relative paths. Pages need not be well formed: void and unclosed
+elements, scripts and entities are taken as browsers do.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions import urls as U
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -88,7 +93,85 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
+_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*))\s*)?\]|:([\w-]+)(\()?")
+_ATTR = {None: lambda x, v: True, "=": str.__eq__, "^=": str.startswith, "$=": str.endswith, "*=": str.__contains__, "~=": lambda x, v: v in x.split(), "|=": lambda x, v: x == v or x.startswith(v + "-")}
+
+
+def _elements(node: Node) -> list[Node]:
+    """The elements of the node's parent, itself included."""
+    return [c for c in node.parent.children if isinstance(c, Node)] if node.parent else [node]
+
+
+def _nth(text: str):
+    """The test for a place, from 1, that ``an+b``, ``odd`` or ``even`` makes."""
+    text = {"odd": "2n+1", "even": "2n"}.get(text.strip().lower(), re.sub(r"\s", "", text))
+    m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?", text)
+    if not m:
+        return lambda k, b=int(text): k == b
+    a, b = {"": 1, "+": 1, "-": -1}.get(m.group(1)) or int(m.group(1) or 1), int(m.group(2) or 0)
+    return lambda k: k == b if a == 0 else (k - b) % a == 0 and (k - b) // a >= 0
+
+
+def _pseudo(name: str, inside: str | None):
+    places = {"first-child": (False, False, "1"), "last-child": (False, True, "1"), "first-of-type": (True, False, "1"), "last-of-type": (True, True, "1"), "nth-child": (False, False, inside), "nth-last-child": (False, True, inside), "nth-of-type": (True, False, inside), "nth-last-of-type": (True, True, inside)}
+    if name in places:
+        typed, backwards, rule = places[name]
+        fits = _nth(rule or "")
+
+        def test(node: Node) -> bool:
+            row = [c for c in _elements(node) if not typed or c.tag == node.tag]
+            k = next(k for k, c in enumerate(row) if c is node)
+            return fits(len(row) - k if backwards else k + 1)
+
+        return test
+    if name == "only-child":
+        return lambda n: len(_elements(n)) == 1
+    if name == "empty":
+        return lambda n: not n.children
+    if name == "contains":
+        return lambda n, v=(inside or "").strip().strip("\"'"): v in "".join(n.texts())
+    if name == "not":
+        chains = _chains(inside or "")
+        return lambda n: not any(_matches(n, c) for c in chains)
+    raise ValueError(f"unknown pseudo-class: {name}")
+
+
+def _close(text: str, at: int) -> int:
+    """The place of the parenthesis or bracket that closes the one before ``at``; what is quoted doesn't count."""
+    depth, quote = 1, ""
+    while at < len(text):
+        c = text[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+            if not depth:
+                return at
+        at += 1
+    raise ValueError(f"not closed: {text}")
+
+
+def _split(text: str, marks: str) -> list[str]:
+    """Parts and the marks between them, at the top level only."""
+    out, start, at = [], 0, 0
+    quote = ""
+    while at < len(text):
+        c = text[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            at = _close(text, at + 1)
+        elif c in marks:
+            out += [text[start:at], c]
+            start = at + 1
+        at += 1
+    return [*out, text[start:]]
 
 
 def _simple(text: str):
@@ -97,29 +180,38 @@ def _simple(text: str):
         m = _PART.match(text, at)
         if not m:
             raise ValueError(f"unknown selector: {text}")
-        tag, ident, cls, attr, op, value = m.groups()
-        if tag and tag != "*":
-            tests.append(lambda n, v=tag.lower(): n.tag == v)
+        tag, ident, cls, attr, op, *quoted, pseudo, opened = m.groups()
+        at = m.end()
+        if tag:
+            if tag != "*":
+                tests.append(lambda n, v=tag.lower(): n.tag == v)
         elif ident:
             tests.append(lambda n, v=ident: n.attrs.get("id") == v)
         elif cls:
             tests.append(lambda n, v=cls: v in n.attrs.get("class", "").split())
         elif attr:
-            check = {None: lambda x, v: True, "=": str.__eq__, "^=": str.startswith, "$=": str.endswith, "*=": str.__contains__, "~=": lambda x, v: v in x.split(), "|=": lambda x, v: x == v or x.startswith(v + "-")}[op]
-            tests.append(lambda n, a=attr.lower(), v=value, f=check: a in n.attrs and f(n.attrs[a], v))
-        at = m.end()
+            value = next((q for q in quoted if q is not None), "")
+            tests.append(lambda n, a=attr.lower(), v=value, f=_ATTR[op]: a in n.attrs and f(n.attrs[a], v))
+        else:
+            end = _close(text, at) if opened else at
+            tests.append(_pseudo(pseudo.lower(), text[at:end] if opened else None))
+            at = end + 1 if opened else at
     return lambda n: n.tag != "#root" and all(t(n) for t in tests)
 
 
 def _matches(node: Node, steps: list) -> bool:
     """steps: (combinator before it, test), the last one's subject is the node."""
-    _, test = steps[-1]
+    how, test = steps[-1]
     if not test(node):
         return False
     if len(steps) == 1:
         return True
+    if how in "+~":
+        row = _elements(node)
+        k = next(k for k, c in enumerate(row) if c is node)
+        return any(_matches(c, steps[:-1]) for c in (row[max(0, k - 1) : k] if how == "+" else row[:k]))
     up = node.parent
-    if steps[-1][0] == ">":
+    if how == ">":
         return up is not None and _matches(up, steps[:-1])
     while up is not None:
         if _matches(up, steps[:-1]):
@@ -128,21 +220,24 @@ def _matches(node: Node, steps: list) -> bool:
     return False
 
 
-def css(root: Node, selector: str) -> list[str]:
-    """Texts, attribute values, or the whole text of each match, in document order."""
-    m = re.search(r"::(text|attr\(\s*([\w-]+)\s*\))\s*$", selector)
-    body = selector[: m.start()] if m else selector
+def _chains(selector: str) -> list[list]:
     chains = []
-    for one in body.split(","):
-        words = one.replace(">", " > ").split() or ["*"]
+    for one in _split(selector, ",")[::2]:
         steps, how = [], " "
-        for w in words:
-            if w == ">":
-                how = ">"
-            else:
+        for w in _split(re.sub(r"\s+", " ", one.strip()), " >+~"):
+            if w in (">", "+", "~"):
+                how = w
+            elif w.strip():
                 steps.append((how, _simple(w)))
                 how = " "
-        chains.append(steps)
+        chains.append(steps or [(" ", _simple("*"))])
+    return chains
+
+
+def css(root: Node, selector: str) -> list[str]:
+    """Texts, attribute values, or the whole text of each match, in document order."""
+    m = re.search(r"::(text|attr\(\s*([\w-]+)\s*\))\s*$", selector)
+    chains = _chains(selector[: m.start()] if m else selector)
     out: list[str] = []
     for node in root.walk():
         if any(_matches(node, c) for c in chains):
@@ -155,42 +250,148 @@ def css(root: Node, selector: str) -> list[str]:
     return out
 
 
-_STEP = re.compile(r"(//?)(?:(@[\w-]+)|(text\(\))|([\w*-]+))((?:\[[^\]]*\])*)")
-
-
-def xpath(root: Node, path: str) -> list[str]:
-    """The values that a path of the supported subset selects."""
-    nodes: list = [root]
+def _words(text: str, word: str) -> list[str]:
+    """The parts of a condition around ``and`` or ``or`` at its top level."""
+    parts, held = [], ""
+    for piece in _split(text, " "):
+        if piece == word:
+            parts.append(held)
+            held = ""
+        else:
+            held += piece
+    return [*parts, held]
+
+
+def _string(x) -> str:
+    if isinstance(x, list):
+        x = x[0] if x else ""
+    return "".join(x.texts()) if isinstance(x, Node) else str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
+
+
+def _value(node: Node, text: str, place: int, size: int):
+    """What an expression of a condition gives: a number, a string, a truth value or a list of nodes and strings."""
+    text = text.strip()
+    for word in ("or", "and"):
+        parts = _words(text, word)
+        if len(parts) > 1:
+            return (any if word == "or" else all)(_true(_value(node, p, place, size), None) for p in parts)
+    for op in ("!=", "<=", ">=", "=", "<", ">"):
+        cut = _split(text.replace(op, "\x00") if op in text else text, "\x00")
+        if len(cut) > 1:
+            left, right = (_value(node, x, place, size) for x in (cut[0], "".join(cut[2:]).replace("\x00", op)))
+            if isinstance(left, float) or isinstance(right, float) or op[0] in "<>":
+                try:
+                    a, b = (x if isinstance(x, float) else float(_string(x)) for x in (left, right))
+                except ValueError:
+                    return op == "!="
+                return {"!=": a != b, "<=": a <= b, ">=": a >= b, "=": a == b, "<": a < b, ">": a > b}[op]
+            some = lambda x: [_string([y]) for y in x] if isinstance(x, list) else [_string(x)]
+            return any((a == b) == (op == "=") for a in some(left) for b in some(right))
+    if re.fullmatch(r"-?\d+(\.\d+)?", text):
+        return float(text)
+    if text[:1] in "\"'" and text[-1:] == text[:1]:
+        return text[1:-1]
+    m = re.match(r"([a-z-]+)\(", text)
+    if m and m.group(1) != "text" and _close(text, m.end()) == len(text) - 1:
+        given = [x for x in _split(text[m.end() : -1], ",")[::2] if x.strip()]
+        args = [_value(node, x, place, size) for x in given]
+        if m.group(1) == "position":
+            return float(place)
+        if m.group(1) == "last":
+            return float(size)
+        if m.group(1) == "not":
+            return not _true(args[0], None)
+        if m.group(1) == "count":
+            return float(len(args[0]))
+        first = _string(args[0]) if args else "".join(node.texts())
+        if m.group(1) == "contains":
+            return _string(args[1]) in first
+        if m.group(1) == "starts-with":
+            return first.startswith(_string(args[1]))
+        if m.group(1) == "normalize-space":
+            return " ".join(first.split())
+        if m.group(1) == "string-length":
+            return float(len(first))
+        if m.group(1) == "string":
+            return first
+        raise ValueError(f"unknown function: {text}")
+    return [node] if text == "." else _select([node], text if text[:1] == "/" else "/" + text if not text.startswith("./") else text[1:])
+
+
+def _true(x, place: int | None) -> bool:
+    """A number alone is a place."""
+    return x == place if isinstance(x, float) and place is not None else bool(x)
+
+
+_STEP = re.compile(r"(//?)(?:(@[\w*-]+)|(text\(\))|(\.\.)|([\w*-]+))")
+
+
+def _select(nodes: list, path: str) -> list:
     at = 0
     while at < len(path):
         m = _STEP.match(path, at)
         if not m:
             raise ValueError(f"unknown path: {path}")
-        axis, attr, text, name, conditions = m.groups()
+        axis, attr, text, up, name = m.groups()
+        at = m.end()
+        conditions = []
+        while path[at : at + 1] == "[":
+            end = _close(path, at + 1)
+            conditions.append(path[at + 1 : end])
+            at = end + 1
         found: list = []
         for node in nodes:
+            if isinstance(node, str):
+                continue
+            pool = list(node.walk()) if axis == "//" else [node]
             if attr:
-                pool = node.walk() if axis == "//" else [node]
-                found += [n.attrs[attr[1:].lower()] for n in pool if attr[1:].lower() in n.attrs]
+                found += [v for n in pool for k, v in n.attrs.items() if attr in ("@*", "@" + k) or attr[1:].lower() == k]
             elif text:
-                pool = node.walk() if axis == "//" else [node]
                 found += [c for n in pool for c in n.children if isinstance(c, str)]
+            elif up:
+                found += [n.parent for n in pool if n.parent is not None]
             else:
-                parents = node.walk() if axis == "//" else [node]
-                for parent in parents:
-                    kids = [c for c in parent.children if isinstance(c, Node) and name in ("*", c.tag)]
-                    for test in re.findall(r"\[([^\]]*)\]", conditions):
-                        if test.isdigit():
-                            kids = kids[int(test) - 1 : int(test)]
-                        else:
-                            k = re.fullmatch(r"@([\w-]+)(?:\s*=\s*['\"](.*)['\"])?", test.strip())
-                            if not k:
-                                raise ValueError(f"unknown condition: {test}")
-                            kids = [c for c in kids if k.group(1).lower() in c.attrs and (k.group(2) is None or c.attrs[k.group(1).lower()] == k.group(2))]
+                for parent in pool:
+                    kids = [c for c in parent.children if isinstance(c, Node) and name.lower() in ("*", c.tag)]
+                    for test in conditions:
+                        kids = [c for k, c in enumerate(kids, 1) if _true(_value(c, test, k, len(kids)), k)]
                     found += kids
         nodes = list({id(x): x for x in found}.values()) if found and isinstance(found[0], Node) else found
-        at = m.end()
-    return [x if isinstance(x, str) else "".join(x.texts()) for x in nodes]
+    return nodes
+
+
+def xpath(root: Node, path: str) -> list[str]:
+    """The values that a path, or several joined by ``|``, selects."""
+    found = [x for one in _split(path, "|")[::2] for x in _select([root], one.strip())]
+    return [x if isinstance(x, str) else "".join(x.texts()) for x in found]
+
+
+def matches(values: list[str], pattern: str) -> list[str]:
+    """All that a pattern finds in the values: its groups where it has some, else the whole of each match."""
+    out: list[str] = []
+    for v in values:
+        for m in re.finditer(pattern, v):
+            out += [g or "" for g in m.groups()] if m.groups() else [m.group()]
+    return out
+
+
+def follow_all(pages: DataFrame, urls: list[str] | None = None, css: str | None = None, xpath: str | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, pos, url): absolute links of every page, from exactly one of given addresses, a CSS selector or a path. Elements stand
+    for their ``href``; those without one are skipped."""
+    if sum(x is not None for x in (urls, css, xpath)) != 1:
+        raise ValueError("exactly one of urls, css and xpath is needed")
+    base = F.col("_base")
+    if urls is not None:
+        rows = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.array(*map(F.lit, urls))).alias("pos", "href"))
+    else:
+        selector = css if css is not None else xpath
+        if css is not None and "::" not in css:
+            selector = f"{css}::attr(href)"
+        elif xpath is not None and not re.search(r"(/@[\w-]+|text\(\))\s*$", xpath):
+            selector = f"{xpath}/@href"
+        found = select(pages, {"link": selector}, key, html).select(key, "pos", F.trim("value").alias("href"))
+        rows = found.join(pages.select(key, F.col(url).alias("_base")), key)
+    return rows.where("href is not null").select(key, "pos", U.join_absolute(base, U.quote(F.col("href"))).alias("url"))
 
 
 def visible_text(root: Node) -> str:
@@ -205,8 +406,9 @@ def visible_text(root: Node) -> str:
     return " ".join("".join(parts).split())
 
 
-def select(pages: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, field, pos, value): every match of every selector; a selector that begins with / is XPath. Each page is parsed once."""
+def select(pages: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html", patterns: dict[str, str] | None = None) -> DataFrame:
+    """(key, field, pos, value): every match of every selector; a selector that begins with / is XPath. Each page is parsed once.
+    ``patterns``: for some fields a regular expression, whose finds in the values take their place."""
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +417,10 @@ def select(pages: DataFrame, selectors: dict[str, str], key: str = "page_id", ht
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 root = parse(text.as_py())
                 for field, selector in selectors.items():
-                    rows += [(k, field, pos, v) for pos, v in enumerate((xpath if selector.startswith("/") else css)(root, selector))]
+                    values = (xpath if selector.startswith("/") else css)(root, selector)
+                    if patterns and field in patterns:
+                        values = matches(values, patterns[field])
+                    rows += [(k, field, pos, v) for pos, v in enumerate(values)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string()))], names=[key, "field", "pos", "value"])
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import html as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
 from weftline.operators import chain, crawl, dedup
@@ -251,6 +252,17 @@ def url_join_dots(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", "k", U.join_absolute(F.col("url"), F.col("href")).alias("joined"))
 
 
+@query(f"with {LINKS} select page_id, pos::int as pos, url from links")
+def follow_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every link that a page's elements have, absolute."""
+    return P.follow_all(S.table(spark, sf, "pages"), css="[href]:not(.no-such-class)")
+
+
+@query("select page_id, (generate_subscripts(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1), 1) - 1)::int as pos, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) as value from pages")
+def selector_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return P.select(S.table(spark, sf, "pages"), {"way": "//*[starts-with(@href, '/') and not(self-marked)]/@href"}, patterns={"way": "^/(.*)$"}).select("page_id", "pos", "value")
+
+
 @query("select c_custkey, 'http://h/p?a=' || c_custkey || '&b=2&d=1&d=2&c=x+y&d=3' as url from customer")
 def param_merge(spark: SparkSession, sf: str) -> DataFrame:
     params = F.to_json(F.struct(F.col("c_custkey").alias("a"), F.lit("x y").alias("c"), F.lit(3).alias("d")))
