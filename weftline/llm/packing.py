@@ -6,8 +6,9 @@ single, pair and triple length sums are asked for what exactly fills its gap, an
 counts allow; what is left is packed best-fit. The plan is a list of recipes, each a combination of lengths and how often
 it is used. Pieces then get ranks within their length, and a rank and a length name a recipe's copy and a place in it.
 
-Edge cases: a null or empty text is one piece of the end id alone; rows that repeat an id are packed each by itself, told apart by
-``row``; a null id is passed through; an empty table gives no rows; other columns are ignored.
+Edge cases: a null or empty text is one piece of the end id alone; rows that repeat an id are packed each by itself, equal ones in any
+order; a null id is passed through; a very long text is encoded whole and cut into as many pieces as it needs; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,15 +150,16 @@ def places(recipes: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(cut: DataFrame, limit: int, buckets: int = 256) -> DataFrame:
+def pack(cut: DataFrame, limit: int, rows_per_bucket: int = 32_768) -> DataFrame:
     """``cut``, a table of pieces, with ``sequence_id`` and ``offset``.
 
     Ranks are counted within hash buckets of each length plus the pieces in the buckets before, so that a length
-    that a third of all pieces have is no single task's. The slot table has at most a few rows for each of the ``limit``
+    that a third of all pieces have is no single task's; there are as many buckets as the commonest length needs. The slot table has at most a few rows for each of the ``limit``
     lengths and recipes, whatever the corpus, so it is broadcast.
     """
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``limit`` rows
     slots = places(plan(counts, limit))
+    buckets = max(1, -(-max(counts.values(), default=0) // rows_per_bucket))
     spark = cut.sparkSession
     table = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length long, first long, upto long, sequence long, offset long")
     rows = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
