@@ -125,6 +125,38 @@ def test_warc_edges(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_lookup(spark, tmp_path):
+    """Every record is found by its id, through its frame and offset, and a revisit names the record that has its payload."""
+    html = {k: prose(k // 2, 300 + k // 2) for k in range(40)}
+    pages = spark.createDataFrame([(k, f"http://h/{k}", v) for k, v in html.items()], "page_id long, url string, html string")
+    index = {r.record_id: r.asDict() for r in warc.write(warc.plan_revisits(pages, "page_id", "url", "html", 1000), str(tmp_path), frame_bytes=5000).collect()}
+    assert len(index) == 40 and len({r["frame"] for r in index.values()}) > 3
+    for k, row in index.items():
+        headers, block = warc.lookup(row, str(tmp_path))
+        assert headers["WARC-Record-ID"] == f"<urn:page:{k}>"
+        if row["record_type"] == "revisit":
+            named = int(headers["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">"))
+            there, block = warc.lookup(index[named], str(tmp_path))
+            assert there["WARC-Payload-Digest"] == headers["WARC-Payload-Digest"]
+        assert block.partition(b"\r\n\r\n")[2].decode() == html[k]
+
+
+def test_packing_in_small_buckets(spark):
+    """Ranks over many buckets give each place once."""
+    cut = spark.range(900).selectExpr("id as doc_id", "0 as piece", "0L as start", "id % 5 * 300 + 100 as length", "id as ids_crc32")
+    rows = packing.pack(cut, 2048, rows_per_bucket=7).collect()
+    assert len(rows) == 900
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_warc_seek_and_checksum(tmp_path):
     from pyarrow import fs
 

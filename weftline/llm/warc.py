@@ -8,7 +8,7 @@ Records of equal payload of at least ``min_revisit`` bytes are written once: the
 ``response``, the others are ``revisit`` records without payload that name it.
 
 Edge cases: a null payload counts as empty; a null id is never a keeper while another id exists and is written as
-``null``; rows that repeat the largest id are all responses; a null target URI leaves the header out; empty input
+``null``; a payload larger than a frame has one of its own; rows that repeat the largest id are all responses; a null target URI leaves the header out; empty input
 gives no archive and an empty index; columns other than the three named are ignored.
 """
 
@@ -209,6 +209,14 @@ def read(index: DataFrame, folder: str, frames_per_task: int = 16) -> DataFrame:
     return units.repartition(n).mapInArrow(run, RECORD)
 
 
+def lookup(row: dict, folder: str) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of one record by its row of the index: one frame is read and decompressed, no other."""
+    files, root = store.filesystem(folder)
+    with files.open_input_file(f"{root}/{row['archive']}") as stream:
+        plain = read_frame(stream, seek_table(stream)[row["frame"]])
+    return next(parse(plain[row["offset"] : row["offset"] + row["length"]]))
+
+
 def _page(urn: str | None) -> int | None:
     value = None if urn is None else urn.removeprefix("<urn:page:").removesuffix(">")
     return None if value in (None, "null") else int(value)
