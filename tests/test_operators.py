@@ -238,6 +238,25 @@ def test_selectors_in_full(selector, want):
         assert (X.xpath if selector.startswith("/") else X.css)(root, selector) == want
 
 
+def test_paths_are_read_once(monkeypatch):
+    """How often the text of a path is read doesn't depend on the pages and their elements."""
+    reads, split = [], X._split
+    monkeypatch.setattr(X, "_split", lambda *given: reads.append(given) or split(*given))
+    path = "//*[starts-with(@href, '/') and not(self-marked) and position()<1000]/@href"
+    assert X.xpath(X.parse("<a href='/0'></a>"), path) == ["/0"]
+    first = len(reads)
+    for n in (1, 300):
+        page = X.parse("".join(f"<a href='/{k}'></a><a href='{k}'></a><a href='/m'><self-marked></self-marked></a>" for k in range(n)))
+        assert X.xpath(page, path) == [f"/{k}" for k in range(n)]
+    assert len(reads) - first == 2  # at the bars between paths, once a call
+    assert X.css(page, "a:not([href^='/'])::attr(href)") == X.css(page, "a:not([href^='/'])::attr(href)") == [str(k) for k in range(300)]
+
+
+def test_marks_in_the_left_of_a_comparison():
+    root = X.parse("<div><a title='x=y'>1</a><a>2</a></div>")
+    assert X.xpath(root, "//a['x=y'=@title]") == ["1"] and X.xpath(root, "//div[count(a[@title='x=y'])=1]/a[2]") == ["2"]
+
+
 def test_matches_and_follow(spark):
     assert X.matches(["a1 b22", "c3"], r"[a-z](\d+)") == ["1", "22", "3"] and X.matches(["a1 b22"], r"\d+") == ["1", "22"]
     pages = spark.createDataFrame([(1, "http://h/a/b", TABLE), (2, "http://h/", None)], "page_id long, url string, html string")
